@@ -8,9 +8,14 @@ from pyspark.sql import functions as F
 from volsmith.config import EWMA_ALPHA
 
 
+def window_feature(x: str | Column, position: int) -> Column:
+    """One feature of every step of a window (steps x features)."""
+    return F.transform(F.col(x) if isinstance(x, str) else x, lambda step: step[position])
+
+
 def leading_feature(x: str | Column) -> Column:
-    """The first feature of every step of a window (steps x features)."""
-    return F.transform(F.col(x) if isinstance(x, str) else x, lambda step: step[0])
+    """The first feature of every step of a window."""
+    return window_feature(x, 0)
 
 
 def ewma(series: str | Column, alpha: float = EWMA_ALPHA) -> Column:

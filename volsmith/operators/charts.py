@@ -32,9 +32,9 @@ def _bin(column: str, bins: int) -> Column:
     """Equal-width bin from 0; the maximum falls into the last one, a single value in the middle."""
     low, high = F.col(f"{column}__lo"), F.col(f"{column}__hi")
     place = F.floor((F.col(column) - low) / (high - low) * bins)
-    return F.when(high == low, F.lit(bins // 2)).otherwise(
-        F.least(place, F.lit(bins - 1))
-    ).cast("int")
+    inner = F.when(place >= bins, F.lit(bins - 1)).otherwise(place)
+    flat = F.col(column).isNotNull() & (high == low)
+    return F.when(flat, F.lit(bins // 2)).otherwise(inner).cast("int")
 
 
 def histogram(

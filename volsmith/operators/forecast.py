@@ -17,12 +17,15 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from volsmith.config import EWMA_ALPHA
-from volsmith.functions.arrays import array_mean, ewma, flat_window, leading_feature, target
+from volsmith.functions.arrays import (
+    array_mean, ewma, flat_window, leading_feature, target, window_feature,
+)
 from volsmith.functions.scalar import traditional_label
 from volsmith.operators.joins import union_results
 from volsmith.operators.metrics import regression_metrics
 from volsmith.operators.ranking import top_n_per_group
 from volsmith.operators.sequences import explode_horizon, time_series_split
+from volsmith.session import fit_side_by_side
 
 METRICS = ["mae", "mse", "rmse", "r2", "rmsle", "mape"]
 RESULT = "model string, cv_mae double, " + ", ".join(f"{m} double" for m in METRICS)
@@ -40,7 +43,7 @@ def window_summary(n_features: int, x: str = "x") -> Column:
         array_mean(F.slice(lead, F.greatest(F.size(lead) - 4, F.lit(1)), 5)),
     ]
     for j in range(1, n_features):
-        series = F.transform(F.col(x), lambda step, j=j: step[j])
+        series = window_feature(x, j)
         parts += [F.element_at(series, -1), array_mean(series)]
     return F.array(*parts)
 
@@ -94,20 +97,31 @@ def compare_regressors(
         "part", F.when(early, fold).alias("fold"), array_to_vector(vector).alias("features"),
         "y", ewma(leading_feature("x"), alpha).alias("ewma"),
     ).persist()
-    results: list[tuple] = []
     try:
-        training, test = rows.where(early), rows.where(~early)
-        for name, build in (models or baseline_regressors(seed)).items():
-            held_out = []
-            for f in range(folds):
-                model = build().setPredictionCol("yhat").fit(training.where(F.col("fold") != f))
-                held_out.append(
-                    model.transform(training.where(F.col("fold") == f)).select("y", "yhat")
-                )
-            cv_mae = _scores(union_results(*held_out))["mae"] if folds > 1 else None
-            final = build().setPredictionCol("yhat").fit(training)
-            scores = _scores(final.transform(test))
-            results.append((name, cv_mae, *[scores[m] for m in METRICS]))
+        training, test = rows.where(early).drop("part"), rows.where(~early)
+        candidates = dict(models or baseline_regressors(seed))
+
+        def fit(task: tuple[str, int | None]) -> DataFrame:
+            """Predictions of the rows held out: one fold, or the test rows for fold None."""
+            name, held = task
+            seen = training if held is None else training.where(F.col("fold") != held)
+            unseen = test if held is None else training.where(F.col("fold") == held)
+            model = candidates[name]().setPredictionCol("yhat").fit(seen)
+            return model.transform(unseen).select(F.lit(name).alias("model"), "y", "yhat")
+
+        def scored(held: list[int | None]) -> dict[str, dict]:
+            """Metrics of every model over the held-out parts, all in one aggregation."""
+            tasks = [(name, h) for name in candidates for h in held]
+            pairs = union_results(*fit_side_by_side(spark, fit, tasks))
+            found = pairs.groupBy("model").agg(*regression_metrics("y", "yhat")).collect()
+            return {row["model"]: row.asDict() for row in found}
+
+        validated = scored(list(range(folds))) if folds > 1 else {}
+        tested = scored([None])
+        results = [
+            (name, validated.get(name, {}).get("mae"), *[tested[name][m] for m in METRICS])
+            for name in candidates if name in tested
+        ]
         results.sort(key=lambda r: (r[1] is None, r[1], r[0]))
         results = results[:n_best]
         weighted = _scores(test.withColumn("yhat", F.col("ewma")))
@@ -183,11 +197,14 @@ def direct_forecast(
     ).persist()
     training = rows.where(F.col("part") == "train")
     validation = rows.where(F.col("part") == "validation")
-    tried = []
-    for number, setting in enumerate(_draw(grid or TRIAL_GRID, max_trials, seed)):
+
+    def attempt(task: tuple[int, dict[str, Any]]) -> tuple[float | None, int, dict[str, Any]]:
+        number, setting = task
         model = _regressor(setting, seed).fit(training)
-        loss = _scores(model.transform(validation))["mse"]
-        tried.append((loss, number, setting))
+        return _scores(model.transform(validation))["mse"], number, setting
+
+    drawn = enumerate(_draw(grid or TRIAL_GRID, max_trials, seed))
+    tried = fit_side_by_side(spark, attempt, drawn)
     best = min(tried, key=lambda t: (t[0] is None, t[0], t[1]))[2]
     model = _regressor(best, seed).fit(rows.where(F.col("part") != "test"))
     predictions = model.transform(rows.where(F.col("part") == "test")).select(

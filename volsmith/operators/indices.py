@@ -73,10 +73,12 @@ def calinski_harabasz(
     k = F.size("cl")
     n = F.aggregate("cl", F.lit(0).cast("bigint"), lambda a, c: a + c["n"])
     within = F.aggregate("cl", F.lit(0.0), lambda a, c: a + c["w"])
-    centre = F.array(*[
-        F.aggregate("cl", F.lit(0.0), lambda a, c, i=i: a + c["n"] * c["c"][i]) / F.col("n")
-        for i in range(dims)
-    ])
+
+    def weighted_mean(i: int) -> Column:
+        total = F.aggregate("cl", F.lit(0.0), lambda a, c: a + c["n"] * c["c"][i])
+        return total / F.col("n")
+
+    centre = F.array(*[weighted_mean(i) for i in range(dims)])
     between = F.aggregate(
         "cl", F.lit(0.0),
         lambda a, c: a + c["n"] * _squared_distance(c["c"], F.col("centre")),

@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 from volsmith.operators.chunks import positions
 from volsmith.operators.indices import adjusted_rand, silhouette
 from volsmith.operators.quantiles import quantile_nearest
-from volsmith.session import stage
+from volsmith.session import fit_side_by_side, stage
 
 KEYS = ("ticker", "date")
 VECTOR = "__vector"
@@ -38,15 +38,13 @@ def fit_kmeans(
     init: str = "k-means||",
 ) -> KMeansModel:
     """The k-means model of least inertia among ``n_init`` seeded starts."""
-    best = None
-    for start in range(n_init):
+
+    def fit(start: int) -> KMeansModel:
         estimator = KMeans(featuresCol=VECTOR, k=k, seed=seed + start, initMode=init, maxIter=100)
-        if weight:
-            estimator = estimator.setWeightCol(weight)
-        model = estimator.fit(vectors)
-        if best is None or model.summary.trainingCost < best.summary.trainingCost:
-            best = model
-    return best
+        return (estimator.setWeightCol(weight) if weight else estimator).fit(vectors)
+
+    models = fit_side_by_side(vectors.sparkSession, fit, range(n_init))
+    return min(models, key=lambda m: m.summary.trainingCost)
 
 
 def _relabel(raw: Column, order: Sequence[Any]) -> Column:

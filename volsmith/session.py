@@ -4,9 +4,16 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Callable, Iterable
+from multiprocessing.pool import ThreadPool
+from typing import Any
 
+from pyspark import inheritable_thread_target
 from pyspark.sql import DataFrame, SparkSession
 
+# Model fits are strings of short jobs; this many are submitted to the cluster side by side.
+FITS_AT_ONCE = 8
+
 
 def get_spark(app: str = "volsmith", master: str | None = None, **conf: str) -> SparkSession:
     """A session with adaptive execution, skew joins and UTC dates."""
@@ -54,3 +61,12 @@ def stage(df: DataFrame, name: str) -> DataFrame:
     path = f"{staging_root(spark)}/volsmith-{app}/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
+
+
+def fit_side_by_side(
+    spark: SparkSession, fit: Callable[[Any], Any], settings: Iterable[Any],
+) -> list[Any]:
+    """``fit`` of every setting, in order, submitted from a few driver threads."""
+    settings = list(settings)
+    with ThreadPool(max(1, min(FITS_AT_ONCE, len(settings)))) as pool:
+        return pool.map(inheritable_thread_target(spark)(fit), settings, chunksize=1)

@@ -27,8 +27,16 @@ QUOTE_SCAN_COLUMNS = [
 ]
 
 
+_TYPES = {
+    "double": T.DoubleType(), "date": T.DateType(), "string": T.StringType(),
+    "int": T.IntegerType(), "smallint": T.ShortType(),
+}
+
+
 def _struct(columns: str) -> T.StructType:
-    return T.StructType.fromDDL(" ".join(columns.split()))
+    """Built without a session, so that importing the module needs none."""
+    fields = [pair.split() for pair in columns.split(",")]
+    return T.StructType([T.StructField(name, _TYPES[kind]) for name, kind in fields])
 
 
 QUOTE_SCHEMA = _struct(QUOTE_COLUMNS)
