@@ -81,7 +81,7 @@ if __name__ == "__main__":
     from volsmith.session import get_spark
 
     session = get_spark("checks", "local[8]", **{
-        "spark.sql.shuffle.partitions": "8", "spark.ui.enabled": "false",
+        "spark.sql.shuffle.partitions": "8", "spark.ui.enabled": "false", "spark.ui.showConsoleProgress": "false",
         "spark.driver.memory": "12g"})
     session.sparkContext.setLogLevel("OFF")
     sys.exit(bool(run(session, sys.argv[1], sys.argv[2:] or None)))

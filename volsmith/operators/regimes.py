@@ -37,10 +37,15 @@ def fit_kmeans(
     vectors: DataFrame, k: int, n_init: int = 10, seed: int = 42, weight: str | None = None,
     init: str = "k-means||",
 ) -> KMeansModel:
-    """The k-means model of least inertia among ``n_init`` seeded starts."""
+    """The k-means model of least inertia among ``n_init`` seeded starts.
+
+    A start ends once the squared moves of all centres sum to less than 1e-4 of the variance of
+    the standardised inputs; Spark tests each centre's distance, hence the root.
+    """
 
     def fit(start: int) -> KMeansModel:
-        estimator = KMeans(featuresCol=VECTOR, k=k, seed=seed + start, initMode=init, maxIter=100)
+        estimator = KMeans(featuresCol=VECTOR, k=k, seed=seed + start, initMode=init, maxIter=300,
+                           tol=math.sqrt(1e-4 / k))
         return (estimator.setWeightCol(weight) if weight else estimator).fit(vectors)
 
     models = fit_side_by_side(vectors.sparkSession, fit, range(n_init))
@@ -246,13 +251,14 @@ def ward_clusters(
         )
         condensed = complete.join(leaves, list(columns))
     else:
-        vectors = _vectors(complete, columns)
+        vectors = _vectors(complete, columns).persist()
         model = KMeans(featuresCol=VECTOR, predictionCol="__leaf", k=micro, seed=seed,
                        maxIter=20).fit(vectors)
+        vectors.unpersist()
         condensed = model.transform(vectors).drop(VECTOR)
         sizes = {r["__leaf"]: r["count"] for r in condensed.groupBy("__leaf").count().collect()}
         used = sorted(sizes)
-        centres = np.array([model.clusterCenters()[i] for i in used])
+        centres = np.array(model.clusterCenters())[used]
         counts = np.array([sizes[i] for i in used])
         condensed = condensed.withColumn("__leaf", _relabel(F.col("__leaf"), used))
     merges = _ward_merges(centres, counts)
