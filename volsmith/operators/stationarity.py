@@ -119,11 +119,16 @@ def adf(
         "level": F.lag("y").over(spec), "step": F.col("y") - F.lag("y").over(spec),
     })
     lagged = [F.coalesce(F.lag("step", i).over(spec), F.lit(0.0)) for i in range(1, longest + 1)]
+    level, step = (F.coalesce(c, F.lit(0.0)) for c in ("level", "step"))
     regressors = shifted.select(
-        by, "r", lags.alias("lags"),
-        F.array(F.lit(1.0), F.col("level"), *lagged, F.col("step")).alias("z"),
-    ).where(F.col("r") >= 2)
-    bucket = F.when(F.col("r") >= F.col("lags") + 2, F.lit(0)).otherwise(F.col("r"))
+        by, "r", lags.alias("lags"), F.array(F.lit(1.0), level, *lagged, step).alias("z")
+    )
+    # Bucket 0 holds the rows every lag can use, 2 and up the early rows one by one. The first row
+    # has no predecessor; its bucket only keeps a one-row ticker in the result.
+    bucket = (
+        F.when(F.col("r") == 1, F.lit(-1))
+        .when(F.col("r") >= F.col("lags") + 2, F.lit(0)).otherwise(F.col("r"))
+    )
     key_type = dict(series.dtypes)[by]
     partial = regressors.select(by, bucket.alias("bucket"), "z").mapInPandas(
         _cross_products(by, width), f"{by} {key_type}, bucket int, n bigint, gram array<double>"
