@@ -22,7 +22,7 @@ SCALED_FEATURES = [
 ROW_GROUP_ROWS = 100_000
 
 # Rows one window task should own before its halo is added; see operators/chunks.py.
-CHUNK_ROWS = 250_000
+CHUNK_ROWS = 1_000_000
 
 
 @dataclass(frozen=True)

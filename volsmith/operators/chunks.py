@@ -8,6 +8,10 @@ Cuts fall between *cells*, the rows sharing one value of the leading order colum
 sizes are counted first, which is a small aggregation, and decide the cuts exactly; nothing is
 sampled, so a retried task sees the same cuts. A cell that is itself too large is divided by the
 remaining order columns.
+
+Rows learn their chunks from a table of the chunks' date ranges. It holds a few entries per chunk and
+only for groups of several chunks, so it stays broadcastable where a table of cells would not, and
+the rows are shuffled once, to their chunks.
 """
 
 from __future__ import annotations
@@ -17,6 +21,7 @@ from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window, WindowSpec
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from volsmith.config import CHUNK_ROWS
 from volsmith.session import stage
@@ -85,7 +90,7 @@ def _with_cells(
     return df, cells, keys
 
 
-def _plan_chunks(
+def _place_cells(
     cells: DataFrame, by: Sequence[str], keys: Sequence[str], before: int, after: int,
     chunk_rows: int,
 ) -> DataFrame:
@@ -111,7 +116,76 @@ def _plan_chunks(
     chunk = F.col("__chunk")
     last = F.coalesce(F.lead("__ahead").over(in_order), chunk) if before else chunk
     first = F.coalesce(F.lag("__behind").over(in_order), chunk) if after else chunk
-    return reach.select(*keys, "__chunk", first.alias("__first"), last.alias("__last"))
+    return reach.select(
+        *keys, "__start", "__chunk", first.alias("__first"), last.alias("__last"),
+        F.max("__chunk").over(Window.partitionBy(*by)).alias("__chunks"),
+    )
+
+
+def _chunk_ranges(
+    cells: DataFrame, by: Sequence[str], keys: Sequence[str], bucket: Column, before: int,
+    after: int, chunk_rows: int,
+) -> DataFrame:
+    """Per group and bucket of the order, the chunks met there: the range of cells each one
+    receives, the range it owns and the rows before it. Groups of one chunk are left out."""
+    place = F.struct(*keys[len(by):])
+    mine = F.col("__at") == F.col("__chunk")
+    sent = (
+        _place_cells(cells, by, keys, before, after, chunk_rows)
+        .where(F.col("__chunks") > 1)
+        .withColumn("__at", F.explode(F.sequence("__first", "__last")))
+    )
+    starts = Window.partitionBy(*by, "__at")
+    return (
+        sent.withColumn("__from", F.min(F.when(mine, F.col("__start"))).over(starts))
+        .groupBy(*by, bucket.alias("__bucket"), "__at")
+        .agg(
+            F.min(place).alias("lo"), F.max(place).alias("hi"),
+            F.min(F.when(mine, place)).alias("own_lo"), F.max(F.when(mine, place)).alias("own_hi"),
+            F.first("__from").alias("start"),
+        )
+        .groupBy(*by, "__bucket")
+        .agg(F.collect_list(
+            F.struct(F.col("__at").alias("at"), "lo", "hi", "own_lo", "own_hi", "start")
+        ).alias("__ranges"))
+    )
+
+
+def _spread(
+    df: DataFrame, by: Sequence[str], order: Sequence[str], before: int, after: int,
+    chunk_rows: int,
+) -> DataFrame:
+    """Rows once for each chunk that needs them: ``__at`` the chunk, ``__own`` whether the row
+    belongs to it, ``__start`` the rows of the group before the chunk."""
+    names = df.columns
+    rows, cells, keys = _with_cells(df, by, order, chunk_rows)
+    dated = isinstance(df.schema[order[0]].dataType, (T.DateType, T.TimestampType, T.TimestampNTZType))
+    bucket = F.year(order[0]) if dated else F.lit(0)
+    ranges = stage(
+        _chunk_ranges(cells, by, keys, bucket, before, after, chunk_rows), "chunk-ranges"
+    )
+    place = F.struct(*keys[len(by):])
+    everything = F.array(F.struct(F.lit(1).alias("at"), F.lit(True).alias("own"),
+                                  F.lit(0).cast("bigint").alias("start")))
+    met = F.transform(
+        F.filter("__ranges", lambda c: (c["lo"] <= F.col("__place")) & (F.col("__place") <= c["hi"])),
+        lambda c: F.struct(
+            c["at"].alias("at"),
+            F.coalesce(
+                (c["own_lo"] <= F.col("__place")) & (F.col("__place") <= c["own_hi"]), F.lit(False)
+            ).alias("own"),
+            c["start"].alias("start"),
+        ),
+    )
+    placed = rows.withColumns({"__place": place, "__bucket": bucket})
+    return (
+        placed.alias("__d")
+        .join(ranges.alias("__p"), _null_safe("__d", "__p", [*by, "__bucket"]), "left")
+        .select(*[F.col(f"__d.{c}").alias(c) for c in [*names, "__place"]], "__p.__ranges")
+        .select(*names, F.explode(F.coalesce(met, everything)).alias("__to"))
+        .select(*names, F.col("__to.at").alias("__at"), F.col("__to.own").alias("__own"),
+                F.col("__to.start").alias("__start"))
+    )
 
 
 def window_columns(
@@ -121,9 +195,9 @@ def window_columns(
 ) -> DataFrame:
     """``df`` plus window columns that look at most ``before`` rows back and ``after`` ahead.
 
-    ``columns`` gets the ordered window and returns the new columns. ``keep`` may filter the result
-    before the halo is dropped. ``chunk_rows=None`` runs a plain window: right where a group is
-    bounded, as one row per ticker and day is.
+    ``columns`` gets the ordered window and returns the new columns. ``keep`` may filter the result.
+    ``chunk_rows=None`` runs a plain window: right where a group is bounded, as one row per ticker
+    and day is.
     """
     by, order = list(by), list(order)
     if chunk_rows is None:
@@ -131,47 +205,23 @@ def window_columns(
         return keep(plain) if keep else plain
     if chunk_rows < max(before, after, 1):
         raise ValueError("chunk_rows must be at least the reach of the window")
-    names = df.columns
-    rows, cells, keys = _with_cells(df, by, order, chunk_rows)
-    plan = _plan_chunks(cells, by, keys, before, after, chunk_rows)
-    spread = (
-        rows.alias("__d").join(plan.alias("__p"), _null_safe("__d", "__p", keys))
-        .select(
-            *[F.col(f"__d.{c}").alias(c) for c in names],
-            F.col("__p.__chunk").alias("__chunk"),
-            F.explode(F.sequence("__p.__first", "__p.__last")).alias("__at"),
-        )
-    )
     spec = Window.partitionBy(*by, "__at").orderBy(*order)
-    result = spread.withColumns(dict(columns(spec)))
-    result = result.where(F.col("__at") == F.col("__chunk"))
-    if keep:
-        result = keep(result)
-    return result.drop("__chunk", "__at")
+    spread = _spread(df, by, order, before, after, chunk_rows)
+    result = spread.withColumns(dict(columns(spec))).where("__own")
+    result = keep(result) if keep else result
+    return result.drop("__at", "__own", "__start")
 
 
 def positions(
     df: DataFrame, by: Sequence[str], order: Sequence[str], name: str = "position",
     chunk_rows: int | None = CHUNK_ROWS,
 ) -> DataFrame:
-    """Row number from 0 within each group (W5), counted cell by cell for large groups."""
+    """Row number from 0 within each group (W5): the rows before the chunk, then counted in it."""
     by, order = list(by), list(order)
     if chunk_rows is None:
         spec = Window.partitionBy(*by).orderBy(*order)
         return df.withColumn(name, F.row_number().over(spec).cast("bigint") - 1)
-    names = df.columns
-    rows, cells, keys = _with_cells(df, by, order, chunk_rows)
-    in_order = Window.partitionBy(*by).orderBy(*keys[len(by):])
-    starts = cells.select(
-        *keys,
-        (F.sum("__n").over(in_order.rowsBetween(Window.unboundedPreceding, 0)) - F.col("__n"))
-        .alias("__start"),
-    )
-    placed = rows.alias("__d").join(starts.alias("__p"), _null_safe("__d", "__p", keys)).select(
-        *[F.col(f"__d.{c}").alias(c) for c in [*names, *[k for k in keys if k not in names]]],
-        F.col("__p.__start").alias("__start"),
-    )
-    within = Window.partitionBy(*keys).orderBy(*order)
-    return placed.withColumn(
-        name, F.col("__start") + F.row_number().over(within) - 1
-    ).select(*names, name)
+    spec = Window.partitionBy(*by, "__at").orderBy(*order)
+    counted = F.col("__start") + F.row_number().over(spec) - 1
+    return _spread(df, by, order, 0, 0, chunk_rows).withColumn(name, counted).select(
+        *df.columns, name)
