@@ -122,35 +122,45 @@ def _place_cells(
     )
 
 
+def _at_most(x: Column, y: Column) -> Column:
+    """x <= y with NULL before everything, as windows order it."""
+    return F.coalesce(x <= y, x.isNull())
+
+
 def _chunk_ranges(
     cells: DataFrame, by: Sequence[str], keys: Sequence[str], bucket: Column, before: int,
     after: int, chunk_rows: int,
 ) -> DataFrame:
-    """Per group and bucket of the order, the chunks met there: the range of cells each one
+    """One row per group, bucket of the order and chunk met there: the range of places the chunk
     receives, the range it owns and the rows before it. Groups of one chunk are left out."""
-    place = F.struct(*keys[len(by):])
+    place = _place(by, keys)
     mine = F.col("__at") == F.col("__chunk")
     sent = (
         _place_cells(cells, by, keys, before, after, chunk_rows)
         .where(F.col("__chunks") > 1)
         .withColumn("__at", F.explode(F.sequence("__first", "__last")))
     )
-    starts = Window.partitionBy(*by, "__at")
+    chunk = Window.partitionBy(*by, "__at")
     return (
-        sent.withColumn("__from", F.min(F.when(mine, F.col("__start"))).over(starts))
+        sent.withColumn("__from", F.min(F.when(mine, F.col("__start"))).over(chunk))
         .groupBy(*by, bucket.alias("__bucket"), "__at")
         .agg(
-            F.min(place).alias("lo"), F.max(place).alias("hi"),
-            F.min(F.when(mine, place)).alias("own_lo"), F.max(F.when(mine, place)).alias("own_hi"),
-            F.first("__from").alias("start"),
+            # By the order's place and not by value, so that NULL dates count as the first ones.
+            F.min_by(place, "__start").alias("__lo"), F.max_by(place, "__start").alias("__hi"),
+            F.count(F.when(mine, 1)).alias("__mine"),
+            F.min_by(place, F.when(mine, F.col("__start"))).alias("__own_lo"),
+            F.max_by(place, F.when(mine, F.col("__start"))).alias("__own_hi"),
+            F.first("__from").alias("__start"),
         )
-        .groupBy(*by, "__bucket")
-        .agg(F.collect_list(
-            F.struct(F.col("__at").alias("at"), "lo", "hi", "own_lo", "own_hi", "start")
-        ).alias("__ranges"))
     )
 
 
+def _place(by: Sequence[str], keys: Sequence[str]) -> Column:
+    """The part of the cell key that orders cells within a group."""
+    rest = list(keys[len(by):])
+    return F.col(rest[0]) if len(rest) == 1 else F.struct(*rest)
+
+
 def _spread(
     df: DataFrame, by: Sequence[str], order: Sequence[str], before: int, after: int,
     chunk_rows: int,
@@ -159,32 +169,30 @@ def _spread(
     belongs to it, ``__start`` the rows of the group before the chunk."""
     names = df.columns
     rows, cells, keys = _with_cells(df, by, order, chunk_rows)
-    dated = isinstance(df.schema[order[0]].dataType, (T.DateType, T.TimestampType, T.TimestampNTZType))
-    bucket = F.year(order[0]) if dated else F.lit(0)
+    lead_type = df.schema[order[0]].dataType
+    dated = isinstance(lead_type, (T.DateType, T.TimestampType, T.TimestampNTZType))
+    divided = len(keys) > len(by) + 1
+    # Ranges are found by equality on the bucket and tested one by one within it.
+    bucket = F.col(order[0]) if divided else F.year(order[0]) if dated else F.lit(0)
     ranges = stage(
         _chunk_ranges(cells, by, keys, bucket, before, after, chunk_rows), "chunk-ranges"
     )
-    place = F.struct(*keys[len(by):])
-    everything = F.array(F.struct(F.lit(1).alias("at"), F.lit(True).alias("own"),
-                                  F.lit(0).cast("bigint").alias("start")))
-    met = F.transform(
-        F.filter("__ranges", lambda c: (c["lo"] <= F.col("__place")) & (F.col("__place") <= c["hi"])),
-        lambda c: F.struct(
-            c["at"].alias("at"),
-            F.coalesce(
-                (c["own_lo"] <= F.col("__place")) & (F.col("__place") <= c["own_hi"]), F.lit(False)
-            ).alias("own"),
-            c["start"].alias("start"),
-        ),
+    place = F.col("__d.__place")
+    met = (
+        _null_safe("__d", "__p", [*by, "__bucket"])
+        & _at_most(F.col("__p.__lo"), place) & _at_most(place, F.col("__p.__hi"))
     )
-    placed = rows.withColumns({"__place": place, "__bucket": bucket})
-    return (
-        placed.alias("__d")
-        .join(ranges.alias("__p"), _null_safe("__d", "__p", [*by, "__bucket"]), "left")
-        .select(*[F.col(f"__d.{c}").alias(c) for c in [*names, "__place"]], "__p.__ranges")
-        .select(*names, F.explode(F.coalesce(met, everything)).alias("__to"))
-        .select(*names, F.col("__to.at").alias("__at"), F.col("__to.own").alias("__own"),
-                F.col("__to.start").alias("__start"))
+    own = (
+        (F.col("__p.__mine") > 0)
+        & _at_most(F.col("__p.__own_lo"), place) & _at_most(place, F.col("__p.__own_hi"))
+    )
+    placed = rows.withColumns({"__place": _place(by, keys), "__bucket": bucket})
+    alone = F.col("__p.__at").isNull()
+    return placed.alias("__d").join(ranges.alias("__p"), met, "left").select(
+        *[F.col(f"__d.{c}").alias(c) for c in names],
+        F.coalesce("__p.__at", F.lit(1)).alias("__at"),
+        (alone | own).alias("__own"),
+        F.coalesce("__p.__start", F.lit(0).cast("bigint")).alias("__start"),
     )
 
 
