@@ -291,11 +291,24 @@ left join thresholds t using (ticker)""", "quotes", "stock")
 add("write_read_quotes", f"""
 select ticker, cast(year(date) as int) as year, date, symbol, {rs('volume', 'impl_volatility')}
 from quotes where ticker in ('T1', 'T2') and year(date) between 1994 and 1996""", "quotes")
+add("write_read_features", f"""
+select ticker, cast(year(date) as int) as year, date, {rs('atm_iv', 'skew', 'curvature')}, regime
+from daily""", "daily")
+add("extract_to_files", f"""
+with {EXTRACT}
+select ticker, cast(year(date) as int) as year, count(*) as n_rows,
+    {r('sum(iv_30d)', 'sum_iv', 6)}, 'success' as status,
+    any_value(n_written) as records_written
+from cleaned join written using (ticker) group by 1, 2""", "quotes", "stock")
 add("write_read_metadata", f"""
 select ticker, count(*) as total_records_raw, count(*) filter ({LIQUID}) as total_records_written,
     {len(_quote_columns)} as n_columns, 50000 as batch_size from quotes group by 1""", "quotes")
 add("sorted_models", f"select model, ticker, w, run_id, {r('mae')} from model_results",
     "model_results")
+add("first_dates", f"""
+select date, ticker, {rs('atm_iv', 'skew', 'curvature')}, regime from (
+    select *, row_number() over (partition by ticker, regime order by date) as rn from daily)
+where rn <= 3""", "daily")
 add("top_models", f"""
 select model, ticker, w, run_id, {r('mae')} from (
     select *, row_number() over (partition by ticker order by mae, model, w, run_id) as rn
@@ -419,6 +432,18 @@ ab as (select vec_id, max(case when label = other then n end) as n,
        from (select s.*, z.n from sums s join sizes z on s.other = z.label) group by 1)
 select {r('avg(case when n = 1 then 0 else (b - a) / greatest(a, b) end)', 'silhouette', 6)}
 from ab""", "points")
+add("silhouette_sq", f"""
+with p as (select vec_id, label, cast(embedding as double[]) as x from points),
+sizes as (select label, count(*) as n from p group by 1),
+sums as (select a.vec_id, a.label, b.label as other,
+            sum(list_distance(a.x, b.x) * list_distance(a.x, b.x)) as total
+         from p a, p b group by 1, 2, 3),
+ab as (select vec_id, max(case when label = other then n end) as n,
+        max(case when label = other and n > 1 then total / (n - 1) end) as a,
+        min(case when label <> other then total / n end) as b
+       from (select s.*, z.n from sums s join sizes z on s.other = z.label) group by 1)
+select {r('avg(case when n = 1 then 0 else (b - a) / greatest(a, b) end)', 'silhouette_sq', 6)}
+from ab""", "points")
 add("adjusted_rand", f"""
 with cells as (select label, other, cast(count(*) as double) as n from points group by 1, 2),
 j as (select sum(n * (n - 1) / 2) as joint, sum(n) as total from cells),

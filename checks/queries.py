@@ -345,10 +345,10 @@ def _(spark, sf):
         "symbol", "secid", "date", *[c for c in found.columns if c.startswith("price_diff_")]))
 
 
-def _extract(spark: SparkSession, sf: str) -> extract.ExtractRun:
+def _extract(spark: SparkSession, sf: str, root: str | None = None) -> extract.ExtractRun:
     prices = view(spark, sf, "stock").withColumnRenamed("ticker", "cusip")
     names = prices.select("cusip", F.col("cusip").alias("ticker")).distinct()
-    config = PipelineConfig(*FULL_RANGE, chunk_rows=CHUNK)
+    config = PipelineConfig(*FULL_RANGE, output_dir=root, chunk_rows=CHUNK)
     return extract.process_tickers(
         spark, [*TICKERS, "T9"], view(spark, sf, "quotes"), view(spark, sf, "master"), prices,
         names, config,
@@ -385,6 +385,26 @@ def _(spark, sf):
     return rounded(found.select("ticker", "year", "date", "symbol", "volume", "impl_volatility"))
 
 
+@register("write_read_features")
+def _(spark, sf):
+    root = f"{staging_root(spark)}/features-{uuid.uuid4().hex}"
+    daily = view(spark, sf, "daily").withColumn("year", F.year("date"))
+    sinks.write_partitioned(daily, f"{root}/by_year", ["ticker", "year"])
+    sinks.write_table(scans.read_table(spark, f"{root}/by_year"), f"{root}/flat")
+    return rounded(scans.read_table(spark, f"{root}/flat").select(
+        "ticker", "year", "date", *NUMERIC, "regime"))
+
+
+@register("extract_to_files")
+def _(spark, sf):
+    root = f"{staging_root(spark)}/extract-{uuid.uuid4().hex}"
+    run = _extract(spark, sf, root)
+    stored = run.cleaned.groupBy("ticker", "year").agg(
+        F.count(F.lit(1)).alias("n_rows"), F.sum("iv_30d").alias("sum_iv"))
+    status = run.summary.where("files_created > 0").select("ticker", "status", "records_written")
+    return rounded(stored.join(status, "ticker"), 6)
+
+
 @register("write_read_metadata")
 def _(spark, sf):
     path = f"{staging_root(spark)}/metadata-{uuid.uuid4().hex}"
@@ -406,6 +426,17 @@ def _(spark, sf):
     return rounded(ranking.sort(view(spark, sf, "model_results"), ["ticker", "mae", "run_id"]))
 
 
+@register("first_dates")
+def _(spark, sf):
+    return rounded(ranking.first_n(
+        view(spark, sf, "daily"), ["ticker", "regime"], ["date"], 3))
+
+
+@register("head_rows")
+def _(spark, sf):
+    return clean.head(view(spark, sf, "quotes").select("symbol", "ticker"), 5)
+
+
 @register("top_models")
 def _(spark, sf):
     return rounded(ranking.top_n_per_group(
@@ -605,6 +636,12 @@ def _(spark, sf):
     return rounded(indices.silhouette(view(spark, sf, "points"), "embedding"), 6)
 
 
+@register("silhouette_sq")
+def _(spark, sf):
+    score = indices.silhouette_sq(view(spark, sf, "points"), "embedding")
+    return rounded(spark.createDataFrame([(score,)], "silhouette_sq double"), 6)
+
+
 @register("adjusted_rand")
 def _(spark, sf):
     return rounded(indices.adjusted_rand(view(spark, sf, "points"), "label", "other"))
@@ -760,6 +797,18 @@ def _(spark, sf):
     return forecast.direct_forecast(windows, max_trials=3).predictions
 
 
+@register("saved_model")
+def _(spark, sf):
+    windows = stage(_windows(spark, sf), "windows")
+    run = forecast.direct_forecast(windows, {"kind": ["linear"], "depth": [2], "rounds": [5],
+                                             "penalty": [0.0, 0.01]}, max_trials=2)
+    path = f"{staging_root(spark)}/model-{uuid.uuid4().hex}"
+    sinks.save_model(run.model, path)
+    loaded = type(run.model).load(path)
+    return spark.createDataFrame(
+        [(i, float(v)) for i, v in enumerate(loaded.coefficients)], "position int, weight double")
+
+
 @register("experiment_grid")
 def _(spark, sf):
     few = {name: forecast.baseline_regressors()[name] for name in ("linear", "lasso")}

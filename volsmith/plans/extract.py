@@ -45,7 +45,11 @@ def process_tickers(
     spark: SparkSession, tickers: Iterable[str], quotes: str | DataFrame, master: DataFrame,
     prices: str | DataFrame, names: str | DataFrame, config: PipelineConfig,
 ) -> ExtractRun:
-    """All tickers in one job. A ticker that yields nothing is a status row, not an error."""
+    """All tickers in one job. A ticker that yields nothing is a status row, not an error.
+
+    With an ``output_dir`` quotes and metadata are written there and read back; without one
+    metadata and summary are computed when they are asked for.
+    """
     tickers = list(tickers)
     secids = scans.resolve_secids(master, tickers)
     raw = join_master(
@@ -65,9 +69,10 @@ def process_tickers(
         files = sinks.written_files(spark, root)
     else:
         cleaned = stage(cleaned, "cleaned")
-    metadata = stage(sinks.run_metadata(joined, cleaned, thresholds, config, files), "metadata")
+    metadata = sinks.run_metadata(joined, cleaned, thresholds, config, files)
     if config.output_dir:
         sinks.write_metadata(metadata, f"{config.output_dir}/metadata")
+        metadata = scans.read_metadata(spark, f"{config.output_dir}/metadata")
     requested = spark.createDataFrame([(t,) for t in tickers], "ticker string")
     summary = sinks.run_summary(requested, metadata)
     return ExtractRun(cleaned, metadata, summary)
