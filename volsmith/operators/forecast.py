@@ -25,7 +25,7 @@ from volsmith.operators.joins import union_results
 from volsmith.operators.metrics import regression_metrics
 from volsmith.operators.ranking import top_n_per_group
 from volsmith.operators.sequences import explode_horizon, time_series_split
-from volsmith.session import fit_side_by_side
+from volsmith.session import fit_side_by_side, stage
 
 METRICS = ["mae", "mse", "rmse", "r2", "rmsle", "mape"]
 RESULT = "model string, cv_mae double, " + ", ".join(f"{m} double" for m in METRICS)
@@ -93,10 +93,12 @@ def compare_regressors(
     if width == 0:
         return spark.createDataFrame([], RESULT)
     vector = flat_window("x") if flat else window_summary(width)
-    rows = split.select(
+    prepared = split.select(
         "part", F.when(early, fold).alias("fold"), array_to_vector(vector).alias("features"),
         "y", ewma(leading_feature("x"), alpha).alias("ewma"),
-    ).persist()
+    )
+    # Staged first: the files come out sized to the data, and so do the tasks of every fit.
+    rows = stage(prepared, "regression-rows").persist()
     try:
         training, test = rows.where(early).drop("part"), rows.where(~early)
         candidates = dict(models or baseline_regressors(seed))
@@ -189,12 +191,13 @@ def direct_forecast(
         split.withColumn("summary", window_summary(width)), "y",
         keys=["ticker", "end_date", "part", "summary"],
     )
-    rows = long.select(
+    prepared = long.select(
         "ticker", "end_date", "part", "horizon", "y",
         array_to_vector(
             F.concat("summary", F.array(F.col("horizon").cast("double")))
         ).alias("features"),
-    ).persist()
+    )
+    rows = stage(prepared, "horizon-rows").persist()
     training = rows.where(F.col("part") == "train")
     validation = rows.where(F.col("part") == "validation")
 
@@ -207,9 +210,13 @@ def direct_forecast(
     tried = fit_side_by_side(spark, attempt, drawn)
     best = min(tried, key=lambda t: (t[0] is None, t[0], t[1]))[2]
     model = _regressor(best, seed).fit(rows.where(F.col("part") != "test"))
-    predictions = model.transform(rows.where(F.col("part") == "test")).select(
-        "ticker", "end_date", "horizon", "y", "yhat"
+    predictions = stage(
+        model.transform(rows.where(F.col("part") == "test")).select(
+            "ticker", "end_date", "horizon", "y", "yhat"
+        ),
+        "predictions",
     )
+    rows.unpersist()
     table = spark.createDataFrame(
         [(n, s["kind"], s["depth"], s["rounds"], float(s["penalty"]), loss)
          for loss, n, s in tried],
