@@ -135,8 +135,13 @@ def _chunk_ranges(
     receives, the range it owns and the rows before it. Groups of one chunk are left out."""
     place = _place(by, keys)
     mine = F.col("__at") == F.col("__chunk")
+    # Most groups fit one chunk; their cells need no placing at all.
+    large = cells.groupBy(*by).agg(F.sum("__n").alias("__n")).where(F.col("__n") > chunk_rows)
+    of_large = cells.alias("__c").join(
+        large.alias("__g"), _null_safe("__c", "__g", by), "left_semi"
+    )
     sent = (
-        _place_cells(cells, by, keys, before, after, chunk_rows)
+        _place_cells(of_large, by, keys, before, after, chunk_rows)
         .where(F.col("__chunks") > 1)
         .withColumn("__at", F.explode(F.sequence("__first", "__last")))
     )
