@@ -9,9 +9,9 @@ sizes are counted first, which is a small aggregation, and decide the cuts exact
 sampled, so a retried task sees the same cuts. A cell that is itself too large is divided by the
 remaining order columns.
 
-Rows learn their chunks from a table of the chunks' date ranges. It holds a few entries per chunk and
-only for groups of several chunks, so it stays broadcastable where a table of cells would not, and
-the rows are shuffled once, to their chunks.
+Rows learn their chunks from a table of the chunks' date ranges. It holds a few entries per chunk
+and only for groups of several chunks, so it stays broadcastable where a table of cells would not,
+and the rows are shuffled once, to their chunks.
 """
 
 from __future__ import annotations

@@ -44,7 +44,9 @@ def drop_columns(df: DataFrame, *columns: str) -> DataFrame:
     return df.drop(*columns)
 
 
-def select_features(df: DataFrame, exclude: Iterable[str] = ("date", "ticker", "year")) -> list[str]:
+def select_features(
+    df: DataFrame, exclude: Iterable[str] = ("date", "ticker", "year"),
+) -> list[str]:
     """Names of all columns that are not identifiers."""
     identifiers = set(exclude)
     return [c for c in df.columns if c not in identifiers]

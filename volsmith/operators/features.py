@@ -44,7 +44,7 @@ def wing_iv(df: DataFrame, delta: float = WING_DELTA) -> DataFrame:
 
 
 def smile_shape(df: DataFrame) -> DataFrame:
-    """Skew and curvature from ``atm_iv``, ``put25_iv``, ``call25_iv``; NULL without a wing."""
+    """Skew and curvature from the three volatilities; NULL without a wing."""
     put, call = F.col("put25_iv"), F.col("call25_iv")
     return df.withColumns({
         "skew": put - call, "curvature": (put + call) / 2 - F.col("atm_iv"),

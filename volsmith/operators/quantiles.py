@@ -44,8 +44,8 @@ def exact_quantiles(
     by = list(by)
     names = list(wanted)
     value = F.col(column).cast("double")
-    # Groups of up to ``accuracy`` rows are ranked whole: there the sketch's margin would be narrower
-    # than the one or two ranks by which definitions of a quantile differ.
+    # Groups of up to ``accuracy`` rows are ranked whole: there the sketch's margin would be
+    # narrower than the one or two ranks by which definitions of a quantile differ.
     margin = 4.0 / accuracy
     edges = [
         F.when(F.count(column) <= accuracy, F.array(F.min(value), F.max(value))).otherwise(
