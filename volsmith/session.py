@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+import shutil
 import tempfile
 import uuid
 from collections.abc import Callable, Iterable
 from multiprocessing.pool import ThreadPool
+from pathlib import Path
 from typing import Any
 
 from pyspark import inheritable_thread_target
@@ -33,6 +35,23 @@ def get_spark(app: str = "volsmith", master: str | None = None, **conf: str) ->
     return builder.getOrCreate()
 
 
+def ship_package(spark: SparkSession) -> None:
+    """Send this package to the executors, once for each application.
+
+    Python functions travel by reference to their modules; workers whose path lacks the package
+    get it from the driver through Spark's own file server.
+    """
+    context = spark.sparkContext
+    if getattr(context, "_volsmith_shipped", False):
+        return
+    package = Path(__file__).resolve().parent
+    with tempfile.TemporaryDirectory(prefix="volsmith-package-") as folder:
+        copy = shutil.copytree(package, f"{folder}/{package.name}", ignore=shutil.ignore_patterns("__pycache__"))
+        archive = shutil.make_archive(f"{tempfile.mkdtemp(prefix='volsmith-')}/volsmith", "zip", folder, Path(copy).name)
+    context.addPyFile(archive)
+    context._volsmith_shipped = True
+
+
 def staging_root(spark: SparkSession) -> str:
     """The shared folder for intermediate tables: ``spark.checkpoint.dir``.
 
