@@ -4,11 +4,12 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from volsmith.llm import bpe, licenses, packing, quality, secret_scan, warc
 from volsmith.llm import exact_dedup as exact
-from volsmith.llm import licenses, quality
 from volsmith.llm.common import text_of
 from volsmith.session import stage
 
@@ -19,11 +20,43 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op3_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pieces = packing.token_pieces(
+        table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"), 2, public_tokenizers.PATTERN)
+    numbers = pieces.select("doc_id", "piece", "start", "length", F.crc32("token_ids").alias("ids_crc32"))
+    return packing.pack(numbers).select("doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset")
+
+
 def op4_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").withColumn("text_sha256", F.sha2(text_of(), 256))
     return exact.exact_dedup(docs).select("doc_id", "keep_id", "group_size", "kept", "text_sha256")
 
 
+def op6_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    kinds = [r.kind for r in secret_scan.BASE_RULES]
+    found = F.split("spans", ",")
+    kind_of = lambda s: F.substring_index(s, ":", 1)
+    count = lambda k: F.size(F.filter(found, lambda s: kind_of(s) == k)).cast("long")
+    base = F.array_join(F.filter(found, lambda s: kind_of(s).isin(kinds)), ",")
+    scanned = secret_scan.secret_scan(table(spark, sf_dir, "documents")).select("doc_id", "spans")
+    return scanned.select("doc_id", *[count(k).alias(f"n_{k}") for k in kinds],
+                          F.sha2(base, 256).alias("base_sha256"), "spans")
+
+
+def op7_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    archives = warc.write_archives(table(spark, sf_dir, "pages"))
+    return warc.read_archives(archives, payload=False).select(
+        "page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
+def op8_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = public_tokenizers.path("byte_bpe_50k.tiktoken")
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    coded = bpe.decode(bpe.encode(docs, path, public_tokenizers.PATTERN), path)
+    return coded.select("doc_id", (F.octet_length("token_ids") / 4).cast("long").alias("n_tokens"),
+                        F.sha2("token_ids", 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
+
+
 def op9_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     judged = stage(quality.rule_columns(docs).select(
@@ -37,7 +70,11 @@ def op10_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Query] = {
+    "op3_packing": op3_packing,
     "op4_exact_dedup": op4_exact_dedup,
+    "op6_secrets": op6_secrets,
+    "op7_warc": op7_warc,
+    "op8_bpe": op8_bpe,
     "op9_quality": op9_quality,
     "op10_licenses": op10_licenses,
 }
