@@ -9,9 +9,9 @@ from pyspark.sql import functions as F
 
 from volsmith.session import stage
 
-#: Words of a mark table. With 64 bits each it never holds more than 65,536 rows of two longs,
-#: about 2 MB as a broadcast relation, whatever the corpus holds.
-MARK_WORDS = 1 << 16
+#: Words of a mark table by default, and at most. With 64 bits each the largest table has 1,048,576
+#: rows of two longs, about 32 MB as a broadcast relation, whatever the corpus holds.
+MARK_WORDS, MOST_MARK_WORDS = 1 << 16, 1 << 20
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 #: White space that separates words: blank, tab, line feed, vertical tab, form feed, return.
 SPACE = "[\\x20\\x09-\\x0D]"
@@ -39,26 +39,31 @@ def back_to_columns(df: DataFrame, names: Sequence[str], added: Sequence[str]) -
     return df.select(*own, *added)
 
 
-def _place(columns: Sequence[str]) -> tuple[Column, Column]:
+def mark_words(keys: int) -> int:
+    """Words for about 16 bits a key, within bounds; beyond them chance hits become more frequent."""
+    return min(MOST_MARK_WORDS, max(1 << 10, 1 << (max(keys, 1) // 4).bit_length()))
+
+
+def _place(columns: Sequence[str], words: int) -> tuple[Column, Column]:
     code = F.xxhash64(*columns)
     bit = F.call_function("shiftleft", F.lit(1).cast("long"), F.pmod(F.shiftright(code, 32), F.lit(64)).cast("int"))
-    return F.pmod(code, F.lit(MARK_WORDS)), bit
+    return F.pmod(code, F.lit(words)), bit
 
 
-def marks(keys: DataFrame, *columns: str) -> DataFrame:
-    """A bit set of the hashed keys: at most ``MARK_WORDS`` rows, so it may be broadcast."""
-    word, bit = _place(columns)
+def marks(keys: DataFrame, *columns: str, words: int = MARK_WORDS) -> DataFrame:
+    """A bit set of the hashed keys: at most ``words`` rows, so it may be broadcast."""
+    word, bit = _place(columns, words)
     return keys.select(word.alias("mark_word"), bit.alias("bit")).groupBy("mark_word").agg(
         F.bit_or("bit").alias("mark_bits"))
 
 
-def with_mark(df: DataFrame, marked: DataFrame, *columns: str) -> DataFrame:
+def with_mark(df: DataFrame, marked: DataFrame, *columns: str, words: int = MARK_WORDS) -> DataFrame:
     """``df`` with ``maybe``: true for every marked key, and by chance for a few others.
 
     Large rows that cannot matter are told apart without a shuffle; what follows must give right
     results for the chance hits too.
     """
-    word, bit = _place(columns)
+    word, bit = _place(columns, words)
     placed = df.withColumn("mark_word", word).withColumn("mark_bit", bit)
     joined = placed.join(F.broadcast(marked), "mark_word", "left")
     hit = F.coalesce(F.col("mark_bits").bitwiseAND(F.col("mark_bit")) != 0, F.lit(False))

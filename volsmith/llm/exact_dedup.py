@@ -51,7 +51,9 @@ def exact_dedup(docs: DataFrame, text: str = "text", key: str = "doc_id", prefix
         .where("group_size > 1")
         .select("full", "keep_id", "group_size", F.col("best.same").alias("same"),
                 F.col("best.place").alias("best_place")), "groups")
-    joined = hashed.join(groups, "full", "left")
+    # Settled rows need no join and keep their place.
+    joined = hashed.where("full is not null").join(groups, "full", "left").unionByName(
+        hashed.where("full is null"), allowMissingColumns=True)
     alone = F.col("group_size").isNull()
     stays = F.col("key").eqNullSafe(F.col("keep_id")) & (
         (F.col("same") == 1) | (F.col("place") == F.col("best_place")))

@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from volsmith.llm import bpe, licenses, packing, quality, secret_scan, warc
+from volsmith.llm import bpe, licenses, near_dedup, packing, quality, secret_scan, warc
 from volsmith.llm import exact_dedup as exact
 from volsmith.llm.common import text_of
 from volsmith.session import stage
@@ -32,6 +32,12 @@ def op4_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact.exact_dedup(docs).select("doc_id", "keep_id", "group_size", "kept", "text_sha256")
 
 
+def op5_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    return near_dedup.near_verdicts(docs, percent=85).select(
+        F.col("key").alias("doc_id"), "n_shingles", "component_id", "kept")
+
+
 def op6_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     kinds = [r.kind for r in secret_scan.BASE_RULES]
     found = F.split("spans", ",")
@@ -72,6 +78,7 @@ def op10_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Query] = {
     "op3_packing": op3_packing,
     "op4_exact_dedup": op4_exact_dedup,
+    "op5_near_dedup": op5_near_dedup,
     "op6_secrets": op6_secrets,
     "op7_warc": op7_warc,
     "op8_bpe": op8_bpe,
