@@ -12,7 +12,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from volsmith.llm.common import as_row, back_to_columns, components, mark_words, marks, text_of, with_mark
+from volsmith.llm.common import as_row, back_to_columns, mark_words, marks, text_of, with_mark
+from volsmith.llm.linking import list_components, shared_values
 from volsmith.llm.shingles import shingle_sets
 from volsmith.session import ship_package, stage
 
@@ -21,9 +22,6 @@ SKETCH = 128
 PERCENT = 80
 #: Chance that two documents just above the threshold share fewer sketch values than are asked for.
 MISS = 1e-10
-#: Rounds in which a document is held against one document of its lists, before all pairs of
-#: documents that are still apart.
-STAR_ROUNDS = 3
 ADDED = ["n_shingles", "component_id", "kept"]
 
 
@@ -131,8 +129,7 @@ def near_links(rows: DataFrame, docs: DataFrame, text: str, percent: int, k: int
     components differ; they are all formed and checked, so no link between components is lost.
     """
     values = rows.where("lo is not null").select("place", "n", "hi", "lo", F.explode("sketch").alias("value"))
-    shared = stage(values.groupBy("value").agg(F.min("lo").alias("least"), F.max("lo").alias("most"))
-                   .where("least <> most").select("value"), "shared")
+    shared = stage(shared_values(values), "shared")
     words = mark_words(shared.count())
     near = with_mark(values, stage(marks(shared, "value", words=words), "marks"), "value", words=words).where("maybe")
     held = stage(near.join(shared, "value", "left_semi").groupBy("value", "hi", "lo").agg(
@@ -156,38 +153,10 @@ def near_links(rows: DataFrame, docs: DataFrame, text: str, percent: int, k: int
                  .select("node", "values"), "sets")
     lists = lists.select("node", "n", "u", "value")
 
-    links = None
-    roots = None
-    for turn in range(STAR_ROUNDS + 1):
-        now = lists.withColumn("root", F.col("node")) if roots is None else lists.join(
-            roots.select("node", F.col("component").alias("known")), "node", "left").select(
-                "node", "n", "u", "value", F.coalesce("known", "node").alias("root"))
-        mixed = now.groupBy("value").agg(F.min("root").alias("low"), F.max("root").alias("high"), F.min(F.struct(
-            (F.lit(0) if turn else F.col("u") * 1000 / F.col("n")).alias("first"),
-            F.xxhash64("node", F.lit(turn)).alias("second"), "node", "n", "u", "root")).alias("hub")).where("low <> high")
-        mixed = stage(mixed.select("value", "hub"), "hubs")
-        if mixed.isEmpty():
-            break
-        if turn < STAR_ROUNDS:
-            met = now.join(mixed, "value").select(
-                "node", "n", "u", "root", F.col("hub.node").alias("hub"), F.col("hub.n").alias("hub_n"),
-                F.col("hub.u").alias("hub_u"), F.col("hub.root").alias("hub_root")).where(
-                    (F.col("root") != F.col("hub_root")) & _may_link(percent, "n", "u", "hub_n", "hub_u"))
-            pairs = met.groupBy("node", "hub").agg(F.count("*").alias("lists")).groupBy("node").agg(
-                F.max(F.struct("lists", "hub")).alias("best")).select(F.col("node").alias("a"), F.col("best.hub").alias("b"))
-        else:
-            open_lists = now.join(mixed.select("value"), "value", "left_semi")
-            other = open_lists.select("value", *[F.col(c).alias(f"other_{c}") for c in ("node", "n", "u", "root")])
-            pairs = open_lists.join(other, "value").where(
-                (F.col("node") < F.col("other_node")) & (F.col("root") != F.col("other_root"))
-                & _may_link(percent, "n", "u", "other_n", "other_u")).select(
-                    F.col("node").alias("a"), F.col("other_node").alias("b")).distinct()
-        found = stage(_verified(pairs, sets, percent, k), "links")
-        links = found if links is None else links.unionByName(found)
-        roots = stage(components(links), "roots")
-    if roots is None:
-        roots = rows.limit(0).select(F.col("place").alias("node"), F.col("place").alias("component"))
-    return roots
+    return list_components(
+        lists, ["n", "u"], lambda pairs: _verified(pairs, sets, percent, k),
+        lambda one, other: _may_link(percent, f"{one}n", f"{one}u", f"{other}n", f"{other}u"),
+        first=F.col("u") * 1000 / F.col("n"))
 
 
 def near_verdicts(docs: DataFrame, text: str = "text", key: str = "doc_id", percent: int = PERCENT,

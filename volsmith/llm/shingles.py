@@ -63,7 +63,7 @@ def _shingles(words: np.ndarray) -> np.ndarray:
         return words
     n = min(len(words), WIDTH)
     count = len(words) - n + 1
-    total = np.full(count, np.uint64(n) * np.uint64(_BASE))
+    total = np.full(count, n * _BASE % (1 << 64), np.uint64)
     for k in range(n):
         total += words[k:k + count] * _OF_PLACE[k]
     return np.unique(mixed(total))
