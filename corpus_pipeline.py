@@ -4,9 +4,11 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from volsmith.llm import exact_dedup, quality
+from volsmith.llm import exact_dedup, near_dedup, packing, quality, secret_scan
 from volsmith.session import stage
 
 Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
@@ -22,9 +24,30 @@ def exact_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return exact_dedup.exact_dedup(docs).where("kept").select(*docs.columns)
 
 
+def near_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each group of near copies (five-word shingles, Jaccard similarity 0.8)."""
+    return near_dedup.without_near_copies(docs).select(*docs.columns)
+
+
+def secret_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """All documents, their secrets replaced by the kind in brackets; ``n_chars`` follows the text."""
+    clean = secret_scan.redact_secrets(docs)
+    return clean.withColumn("n_chars", F.coalesce(F.length("text").cast("long"), "n_chars")).select(*docs.columns)
+
+
+def packing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The documents' tokens in sequences of at most 1,024: a row for each piece and its place."""
+    pieces = packing.token_pieces(docs, public_tokenizers.path("byte_bpe_50k.json"), 2, public_tokenizers.PATTERN)
+    numbers = pieces.select("doc_id", "piece", "start", "length", F.crc32("token_ids").alias("ids_crc32"))
+    return packing.pack(numbers)
+
+
 STAGES: list[tuple[str, Stage]] = [
     ("quality rules", quality_stage),
     ("exact dedup", exact_stage),
+    ("near dedup", near_stage),
+    ("secret scans", secret_stage),
+    ("best-fit packing", packing_stage),
 ]
 
 #: The last stage packs tokens, which SQL cannot express; tests hold the run against brute force.
