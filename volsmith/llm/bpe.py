@@ -8,18 +8,17 @@ from functools import lru_cache
 from pathlib import Path
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from volsmith.llm.common import text_of
 from volsmith.session import ship_package
 
 NONE = 1 << 40
-#: Matches whose ids a Python worker remembers (about 100 MB), and the longest of them; when the
+#: Matches whose ids a Python worker remembers (about 60 MB), and the longest of them; when the
 #: memory is full it starts anew. It changes no result.
-REMEMBERED, LONGEST = 400_000, 64
+REMEMBERED, LONGEST = 250_000, 64
 
 
 @lru_cache(maxsize=4)
@@ -116,6 +115,35 @@ def encoder(content: bytes, pattern: str) -> Encoder:
     return Encoder(content, pattern)
 
 
+def _with_column(batch: pa.RecordBatch, name: str, values: list[bytes]) -> pa.RecordBatch:
+    kept = [c for c in batch.schema.names if c != name]
+    return pa.RecordBatch.from_arrays([*(batch.column(c) for c in kept), pa.array(values, pa.binary())], names=[*kept, name])
+
+
+def _schema_with(df: DataFrame, *names: str) -> T.StructType:
+    return T.StructType([f for f in df.schema if f.name not in names] + [T.StructField(n, T.BinaryType()) for n in names])
+
+
+def _slices(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """A few rows at a time, so that a worker holds little besides its input."""
+    for batch in batches:
+        for at in range(0, batch.num_rows, 200):
+            yield batch.slice(at, 200)
+
+
+def _encoded(batches: Iterator[pa.RecordBatch], text: str, content: bytes, pattern: str) -> Iterator[pa.RecordBatch]:
+    run = encoder(content, pattern).encode
+    for batch in _slices(batches):
+        yield _with_column(batch, "token_ids", [run(t or "") for t in batch.column(text).to_pylist()])
+
+
+def _decoded(batches: Iterator[pa.RecordBatch], column: str, content: bytes) -> Iterator[pa.RecordBatch]:
+    tokens = read_tokens(content)
+    for batch in _slices(batches):
+        yield _with_column(batch, "decoded", [
+            b"".join(map(tokens.__getitem__, np.frombuffer(b or b"", "<u4").tolist())) for b in batch.column(column).to_pylist()])
+
+
 def encode(docs: DataFrame, ranks_path: str, pattern: str, text: str = "text") -> DataFrame:
     """Every row of ``docs`` with ``token_ids``: binary, four little-endian bytes an id.
 
@@ -126,25 +154,20 @@ def encode(docs: DataFrame, ranks_path: str, pattern: str, text: str = "text") -
     """
     ship_package(docs.sparkSession)
     content = docs.sparkSession.sparkContext.broadcast(Path(ranks_path).read_bytes())
-
-    @F.pandas_udf("binary")
-    def ids(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        run = encoder(content.value, pattern).encode
-        for batch in batches:
-            yield pd.Series([run(t) for t in batch])
-
-    return docs.withColumn("token_ids", ids(text_of(text)))
+    return docs.mapInArrow(lambda b: _encoded(b, text, content.value, pattern), _schema_with(docs, "token_ids"))
 
 
 def decode(rows: DataFrame, ranks_path: str, column: str = "token_ids") -> DataFrame:
-    """Every row with ``decoded``: the bytes that its ids stand for; no ids for null."""
+    """Every row with ``decoded``: the bytes that its ids stand for; none for null."""
     ship_package(rows.sparkSession)
     content = rows.sparkSession.sparkContext.broadcast(Path(ranks_path).read_bytes())
+    return rows.mapInArrow(lambda b: _decoded(b, column, content.value), _schema_with(rows, "decoded"))
 
-    @F.pandas_udf("binary")
-    def back(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        tokens = read_tokens(content.value)
-        for batch in batches:
-            yield pd.Series([b"".join(map(tokens.__getitem__, np.frombuffer(b, "<u4").tolist())) for b in batch])
 
-    return rows.withColumn("decoded", back(F.coalesce(F.col(column), F.lit(b""))))
+def encode_and_decode(docs: DataFrame, ranks_path: str, pattern: str, text: str = "text") -> DataFrame:
+    """``decode`` of ``encode`` in one pass of one Python worker: ``token_ids`` and ``decoded`` of every row."""
+    ship_package(docs.sparkSession)
+    content = docs.sparkSession.sparkContext.broadcast(Path(ranks_path).read_bytes())
+    return docs.mapInArrow(
+        lambda b: _decoded(_encoded(b, text, content.value, pattern), "token_ids", content.value),
+        _schema_with(docs, "token_ids", "decoded"))

@@ -86,7 +86,7 @@ def linked(a: np.ndarray, b: np.ndarray, percent: int, k: int, need: int) -> boo
     Sets that are larger than a sketch are first compared by the ``k`` smallest values of their
     union, whose share in both estimates the similarity.
     """
-    if max(len(a), len(b)) > k:
+    if k and max(len(a), len(b)) > k:
         union = np.union1d(a[:k], b[:k])[:k]
         both = np.intersect1d(a[:k], b[:k], assume_unique=True)
         if np.searchsorted(both, union[-1], "right") < min(need, len(union)):
@@ -95,8 +95,8 @@ def linked(a: np.ndarray, b: np.ndarray, percent: int, k: int, need: int) -> boo
     return 100 * common >= percent * (len(a) + len(b) - common)
 
 
-def _verified(pairs: DataFrame, sets: DataFrame, percent: int, k: int) -> DataFrame:
-    """The ``pairs`` (a, b) of nodes that are linked, by their full sets."""
+def verified_pairs(pairs: DataFrame, sets: DataFrame, percent: int, k: int) -> DataFrame:
+    """The ``pairs`` (a, b) of nodes that are linked, by their full sets; ``k`` 0 leaves the estimate out."""
     need = least_overlap(k, percent)
 
     def check(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -111,22 +111,53 @@ def _verified(pairs: DataFrame, sets: DataFrame, percent: int, k: int) -> DataFr
     return pairs.join(left, "a").join(right, "b").select("a", "b", "x", "y").mapInArrow(check, "a long, b long")
 
 
-def _may_link(percent: int, n: str, u: str, other_n: str, other_u: str) -> Column:
-    """Size bound: values known to be in one document only cannot be shared."""
-    most = F.least(F.col(n) - F.col(u), F.col(other_n) - F.col(other_u))
+def may_link(percent: int, n: str, at: str, other_n: str, other_at: str) -> Column:
+    """Positional bound: of two sets whose first common value stands at these places, earlier ones are not shared."""
+    most = F.least(F.col(n) - F.col(at), F.col(other_n) - F.col(other_at))
     return (100 + percent) * most >= percent * (F.col(n) + F.col(other_n))
 
 
+def prefix_lists(held: DataFrame, retained: Column, needed: Column) -> DataFrame:
+    """(value, node, hi, lo, n, at): the inverted lists that a node has to be in.
+
+    ``held`` has the values that several nodes share; the ``retained`` values of a node that are not
+    in it are its own. In order of frequency, rarest first and its own before all, a node enters the
+    lists of its first ``retained - needed + 1`` values; ``at`` is the place in that order. Two
+    nodes with ``needed`` common values share one of these lists.
+    """
+    frequency = held.groupBy("value").agg(F.count("*").alias("df")).where("df > 1")
+    own = held.join(frequency, "value").groupBy("node", "hi", "lo", "n").agg(
+        F.sort_array(F.collect_list(F.struct("df", "value"))).alias("shared"))
+    own = own.withColumn("u", (retained - F.size("shared")).cast("int")).withColumn("take", (retained - needed + 1 - F.col("u")).cast("int"))
+    placed = own.where("take > 0").select(
+        "node", "hi", "lo", "n", "u", F.posexplode(F.slice("shared", F.lit(1), F.col("take"))).alias("i", "s"))
+    return placed.select(F.col("s.value").alias("value"), "node", "hi", "lo", "n", (F.col("u") + F.col("i")).alias("at"))
+
+
+def spread_values(sets: DataFrame) -> DataFrame:
+    """One row (node, hi, lo, n, value) for each value of the full sets."""
+    def spread(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for whole in batches:
+            for at in range(0, whole.num_rows, 100):
+                batch = whole.slice(at, 100)
+                own = [np.frombuffer(v.as_buffer(), "<i8") for v in batch.column(4)]
+                source = pa.array(np.repeat(np.arange(len(own)), [len(v) for v in own]))
+                yield pa.RecordBatch.from_arrays(
+                    [*(c.take(source) for c in batch.columns[:4]), pa.array(np.concatenate(own))],
+                    names=["node", "hi", "lo", "n", "value"])
+
+    return sets.select("node", "hi", "lo", "n", "values").mapInArrow(
+        spread, "node long, hi long, lo long, n long, value long")
+
+
 def near_links(rows: DataFrame, docs: DataFrame, text: str, percent: int, k: int) -> DataFrame:
     """Components (node, component) of the classes of equal sets, by links of at least ``percent``.
 
     ``rows`` are the staged signatures. Values of one class only are told from shared ones by two
-    extremes of the class names, so a value's holders are never gathered. Values shared by several
-    classes form inverted lists; a document enters only the lists of its rarest values, as many as
-    it could miss and one more (no value is in fewer lists than it must be, whatever its
-    frequency). In each star round a document is held against the one document with which it shares most
-    lists; pairs within a component need no check. What is left are pairs in a common list whose
-    components differ; they are all formed and checked, so no link between components is lost.
+    extremes of the class names, so a value's holders are never gathered. Shared values of the sketches
+    form inverted lists, and a document that cannot share enough of them with any other is done.
+    For the documents that are left, few in most corpora, the lists are drawn anew from their full sets,
+    where the places of values bound every overlap sharply; pairs come from these lists.
     """
     values = rows.where("lo is not null").select("place", "n", "hi", "lo", F.explode("sketch").alias("value"))
     shared = stage(shared_values(values), "shared")
@@ -134,29 +165,24 @@ def near_links(rows: DataFrame, docs: DataFrame, text: str, percent: int, k: int
     near = with_mark(values, stage(marks(shared, "value", words=words), "marks"), "value", words=words).where("maybe")
     held = stage(near.join(shared, "value", "left_semi").groupBy("value", "hi", "lo").agg(
         F.min("place").alias("node"), F.max("n").alias("n")), "held")
-
-    frequency = held.groupBy("value").agg(F.count("*").alias("df"))
-    own = held.join(frequency, "value").groupBy("node", "hi", "lo", "n").agg(
-        F.sort_array(F.collect_list(F.struct("df", "value"))).alias("shared"))
-    retained = F.least(F.col("n"), F.lit(k))
-    own = own.withColumn("u", retained - F.size("shared")).withColumn("take", (retained - _needed(percent, k) + 1 - F.col("u")).cast("int"))
-    own = own.where(F.col("take") > 0)
-    lists = stage(own.select("node", "hi", "lo", "n", "u", F.explode(F.slice("shared", F.lit(1), F.col("take"))).alias("s"))
-                  .select("node", "hi", "lo", "n", "u", "s.value"), "lists")
+    lists = prefix_lists(held, F.least(F.col("n"), F.lit(k)), _needed(percent, k))
 
     # The full sets of the documents in lists, by the names of their sets; copies are merged.
-    nodes = stage(lists.select("node", "hi", "lo").distinct(), "nodes")
+    met = lists.groupBy("value").agg(F.count("*").alias("met")).where("met > 1")
+    nodes = stage(lists.join(met, "value").select("node", "hi", "lo", "n").distinct(), "nodes")
     words = mark_words(nodes.count())
     full = with_mark(signatures(docs, text, k, full=True).where("lo is not null"),
                      stage(marks(nodes, "hi", "lo", words=words), "marks"), "hi", "lo", words=words).where("maybe")
     sets = stage(full.select("hi", "lo", "values").dropDuplicates(["hi", "lo"]).join(nodes, ["hi", "lo"])
-                 .select("node", "values"), "sets")
-    lists = lists.select("node", "n", "u", "value")
+                 .select("node", "hi", "lo", "n", "values"), "sets")
 
+    every = spread_values(sets)
+    lists = stage(prefix_lists(every, F.col("n"), F.ceil(F.col("n") * percent / 100)), "lists")
+    pairs_of = sets.select("node", "values")
     return list_components(
-        lists, ["n", "u"], lambda pairs: _verified(pairs, sets, percent, k),
-        lambda one, other: _may_link(percent, f"{one}n", f"{one}u", f"{other}n", f"{other}u"),
-        first=F.col("u") * 1000 / F.col("n"))
+        lists.select("value", "node", "n", "at"), ["n", "at"], lambda pairs: verified_pairs(pairs, pairs_of, percent, k),
+        lambda one, other: may_link(percent, f"{one}n", f"{one}at", f"{other}n", f"{other}at"),
+        first=F.col("at") * 1000 / F.col("n"))
 
 
 def near_verdicts(docs: DataFrame, text: str = "text", key: str = "doc_id", percent: int = PERCENT,

@@ -43,16 +43,12 @@ class _Ids:
         if len(self.known) >= REMEMBERED:
             self.known.clear()
         matches = [self.split(t) if t else [] for t in texts]
-        known, new = self.known, {}
-        for own in matches:
-            for m in own:
-                if m not in known:
-                    new[m] = None
+        known = self.known
         # Long matches are looked up once and not kept.
-        fresh = list(new)
+        fresh = list(set().union(*matches).difference(known))
         for m, e in zip(fresh, self.tokenizer.encode_batch_fast(fresh, add_special_tokens=False), strict=True):
             known[m] = np.array(e.ids, dtype="<u4").tobytes()
-        found = [np.frombuffer(b"".join([known[m] for m in own]), dtype="<u4") for own in matches]
+        found = [np.frombuffer(b"".join(map(known.__getitem__, own)), dtype="<u4") for own in matches]
         for m in fresh:
             if len(m) > LONGEST:
                 del known[m]

@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from volsmith.llm import bpe, licenses, near_dedup, packing, quality, secret_scan, warc
+from volsmith.llm import bpe, licenses, lines, near_dedup, packing, paragraphs, quality, secret_scan, warc
 from volsmith.llm import exact_dedup as exact
 from volsmith.llm.common import text_of
 from volsmith.session import stage
@@ -20,6 +20,14 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return paragraphs.repeated_paragraphs(table(spark, sf_dir, "documents"))
+
+
+def op2_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lines.fuzzy_lines(table(spark, sf_dir, "documents"))
+
+
 def op3_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     pieces = packing.token_pieces(
         table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"), 2, public_tokenizers.PATTERN)
@@ -58,7 +66,7 @@ def op7_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op8_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = public_tokenizers.path("byte_bpe_50k.tiktoken")
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
-    coded = bpe.decode(bpe.encode(docs, path, public_tokenizers.PATTERN), path)
+    coded = bpe.encode_and_decode(docs, path, public_tokenizers.PATTERN)
     return coded.select("doc_id", (F.octet_length("token_ids") / 4).cast("long").alias("n_tokens"),
                         F.sha2("token_ids", 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
 
@@ -76,6 +84,8 @@ def op10_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Query] = {
+    "op1_substring_dedup": op1_substring_dedup,
+    "op2_line_dedup": op2_line_dedup,
     "op3_packing": op3_packing,
     "op4_exact_dedup": op4_exact_dedup,
     "op5_near_dedup": op5_near_dedup,

@@ -94,3 +94,10 @@ def _of_several(texts: list[bytes]) -> Iterator[np.ndarray]:
     for end in ends:
         yield _shingles(words[begin:end])
         begin = end
+
+
+def word_lists(texts: list[str]) -> Iterator[np.ndarray]:
+    """The hashes of the words of each text, in order, A-Z in lower case."""
+    for text in texts:
+        data = text.encode("utf-8", "surrogatepass").translate(_LOWER)
+        yield np.concatenate([_word_hashes(part)[1] for part in _cuts(data)])
