@@ -126,7 +126,14 @@ add("secid_lookup", "select distinct secid, ticker from master where ticker in (
 add("yearly_union", f"""
 select m.ticker, q.date, q.symbol, {rs('q.volume', 'q.impl_volatility')}
 from quotes q join (select distinct secid, ticker from master) m using (secid)
-where m.ticker in ('T0', 'T2') and year(q.date) in (1993, 1994, 1995)""", "quotes", "master")
+where m.ticker in ('T0', 'T2')""", "quotes", "master")
+add("sample_rows", """
+select symbol, ticker from quotes order by md5(concat(symbol, '|42')), symbol limit 20""", "quotes")
+add("head_rows", """
+select symbol, ticker from quotes order by symbol limit 5""", "quotes")
+add("regime_discovery_days", f"""
+select date, ticker, {rs('atm_iv', 'skew', 'curvature')}, true as labelled from daily
+where ticker = 'T0' and atm_iv is not null and skew is not null and curvature is not null""", "daily")
 add("scan_rates", f"""
 select date, {r('treasury_2y')} from rates
 where date between date '1994-01-01' and date '1995-12-31'""", "rates")

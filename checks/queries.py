@@ -86,7 +86,10 @@ def _(spark, sf):
 @register("yearly_union")
 def _(spark, sf):
     quotes = view(spark, sf, "quotes")
-    years = [quotes.where(F.year("date") == y) for y in (1993, 1994, 1995)]
+    root = f"{staging_root(spark)}/volsmith-{spark.sparkContext.applicationId}/years-{uuid.uuid4().hex}"
+    quotes.withColumn("year", F.year("date")).write.partitionBy("year").parquet(root)
+    found = sorted(r["year"] for r in spark.read.parquet(root).select("year").distinct().collect())
+    years = [spark.read.schema(quotes.schema).parquet(f"{root}/year={y}") for y in found]
     stacked = scans.scan_yearly(
         spark, years, view(spark, sf, "master").distinct(), ["T0", "T2"], *FULL_RANGE
     )
@@ -193,7 +196,7 @@ def _(spark, sf):
 
 @register("sample_rows")
 def _(spark, sf):
-    return clean.sample_rows(view(spark, sf, "quotes").select("symbol", "ticker"), 20)
+    return clean.sample_rows(view(spark, sf, "quotes").select("symbol", "ticker"), 20, ["symbol"])
 
 
 # --- joins and unions -----------------------------------------------------------------------
@@ -434,7 +437,7 @@ def _(spark, sf):
 
 @register("head_rows")
 def _(spark, sf):
-    return clean.head(view(spark, sf, "quotes").select("symbol", "ticker"), 5)
+    return clean.head(view(spark, sf, "quotes").select("symbol", "ticker"), 5, ["symbol"])
 
 
 @register("top_models")
@@ -665,7 +668,7 @@ def _(spark, sf):
 
 @register("k_sweep")
 def _(spark, sf):
-    return regimes.k_sweep(_scaled_daily(spark, sf), NUMERIC, n_init=2)
+    return regimes.k_sweep(_scaled_daily(spark, sf), NUMERIC)
 
 
 @register("pca_by_variance")
@@ -693,18 +696,25 @@ def _(spark, sf):
 
 @register("stability_subsample")
 def _(spark, sf):
-    return regimes.stability_subsample(_scaled_daily(spark, sf), NUMERIC, 3, runs=2, n_init=2)
+    return regimes.stability_subsample(_scaled_daily(spark, sf), NUMERIC, 3)
 
 
 @register("stability_bootstrap")
 def _(spark, sf):
-    return regimes.stability_bootstrap(_scaled_daily(spark, sf), NUMERIC, 3, runs=2, n_init=2)
+    return regimes.stability_bootstrap(_scaled_daily(spark, sf), NUMERIC, 3)
 
 
 @register("regime_discovery")
 def _(spark, sf):
     daily = view(spark, sf, "daily").where(F.col("ticker") == "T0")
-    return regime_plans.regime_discovery(daily, "kmeans", 0.5, 3, runs=1, n_init=2).labelled
+    return regime_plans.regime_discovery(daily, "kmeans", 0.5, 3).labelled
+
+
+@register("regime_discovery_days")
+def _(spark, sf):
+    daily = view(spark, sf, "daily").where(F.col("ticker") == "T0")
+    found = regime_plans.regime_discovery(daily, "kmeans", 0.5, 3, stability=False).labelled
+    return rounded(found.withColumn("labelled", F.col("regime").between(0, 2)).drop("regime"))
 
 
 @register("setup_sweep")
@@ -781,7 +791,7 @@ def _(spark, sf):
 @register("compare_regressors")
 def _(spark, sf):
     windows = stage(_windows(spark, sf), "windows")
-    return forecast.compare_regressors(windows, folds=2)
+    return forecast.compare_regressors(windows)
 
 
 @register("ewma_baseline_row")
@@ -794,7 +804,7 @@ def _(spark, sf):
 @register("direct_forecast")
 def _(spark, sf):
     windows = stage(_windows(spark, sf), "windows")
-    return forecast.direct_forecast(windows, max_trials=3).predictions
+    return forecast.direct_forecast(windows).predictions
 
 
 @register("saved_model")

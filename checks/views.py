@@ -41,12 +41,13 @@ select concat('T', cast(o_custkey % 4 as string)) as ticker, cast(o_orderdate as
        max(o_totalprice) as prc, cast(count(*) as double) as vol
 from orders group by 1, 2""",
     "stock_raw": """
-select cast(o_custkey % 50 as string) as cusip, cast(o_orderdate as date) as date,
+select cast(cast(floor(o_custkey / 4) as bigint) as string) as cusip, cast(o_orderdate as date) as date,
        max(o_totalprice) as prc, cast(count(*) as double) as vol
 from orders group by 1, 2""",
     "names": """
-select cast(c_custkey % 50 as string) as cusip, concat('T', cast(c_custkey % 4 as string)) as ticker
-from customer where c_custkey <= 200""",
+select cast(cast(floor(c_custkey / 4) as bigint) as string) as cusip,
+       concat('T', cast(c_custkey % 4 as string)) as ticker
+from customer""",
     "master": """
 select cast(s_suppkey % 4 as double) as secid, concat('T', cast(s_suppkey % 4 as string)) as ticker
 from supplier""",

@@ -151,7 +151,7 @@ def naive_ward(x, k):
 def test_ward_equals_naive_ward(spark, k):
     x = np.random.default_rng(k).normal(size=(30, 2))
     df = frame(spark, x)
-    fitted = regimes.ward_clusters(df, ["a", "b"], k)
+    fitted = regimes.ward_cut(regimes.ward_exact_tree(df, ["a", "b"]), k, "a")
     labels = [r["regime"] for r in fitted.labelled.orderBy("date").collect()]
     pairs = spark.createDataFrame(
         [(int(p), int(q)) for p, q in zip(labels, naive_ward(x, k))], "a int, b int")
@@ -178,7 +178,7 @@ def test_stability_of_clear_blobs(blob_frame):
 
 def test_samples_have_their_size(blob_frame):
     assert regimes.sample_exactly(blob_frame, ["ticker", "date"], 0.8, 5).count() == 120
-    drawn = regimes.bootstrap_counts(blob_frame, ["ticker", "date"], 5)
+    drawn = regimes.bootstrap_counts(regimes.bootstrap_index(blob_frame, ["ticker", "date"]), 5)
     assert drawn.agg(F.sum("__weight")).first()[0] == 150.0
     assert 80 < drawn.count() < 115
 

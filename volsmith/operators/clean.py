@@ -161,11 +161,17 @@ def one_hot(
     return df.withColumns(flags).drop(column)
 
 
-def head(df: DataFrame, n: int) -> DataFrame:
-    """P16."""
-    return df.limit(n)
+def head(df: DataFrame, n: int, order: Iterable[str]) -> DataFrame:
+    """The first ``n`` rows in ``order``."""
+    return df.orderBy(*order).limit(n)
 
 
-def sample_rows(df: DataFrame, n: int, seed: int = 42) -> DataFrame:
-    """``n`` random rows (P16); a top-n, so each task passes on at most ``n`` rows."""
-    return df.orderBy(F.rand(seed)).limit(n)
+def sample_rows(df: DataFrame, n: int, keys: Iterable[str], seed: int = 42) -> DataFrame:
+    """``n`` random rows (P16): those with the least hashes of their keys and the seed.
+
+    The draw does not depend on how rows are partitioned. It is a top-n, so each task passes on at
+    most ``n`` rows.
+    """
+    keys = list(keys)
+    drawn = F.md5(F.concat_ws("|", *[F.col(k).cast("string") for k in keys], F.lit(str(seed))))
+    return df.orderBy(drawn, *keys).limit(n)

@@ -15,12 +15,16 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from volsmith.operators.chunks import positions
-from volsmith.operators.indices import adjusted_rand, silhouette
+from volsmith.operators.indices import (
+    adjusted_rand, calinski_harabasz, davies_bouldin, silhouette,
+)
 from volsmith.operators.quantiles import quantile_nearest
 from volsmith.session import fit_side_by_side, stage
 
 KEYS = ("ticker", "date")
 VECTOR = "__vector"
+SCORES = ("k int, inertia double, silhouette double, calinski_harabasz double, "
+          "davies_bouldin double, stability double")
 
 
 def _vectors(df: DataFrame, columns: Sequence[str]) -> DataFrame:
@@ -109,10 +113,11 @@ def k_sweep(
     df: DataFrame, columns: Sequence[str], ks: Sequence[int] = (2, 3, 4, 5), n_init: int = 10,
     seed: int = 42, stability_runs: int = 0, keys: Sequence[str] = KEYS,
 ) -> DataFrame:
-    """Inertia, silhouette and, with runs, bootstrap stability for each k (M2)."""
+    """Inertia, the three indices and, with runs, bootstrap stability for each k (M2)."""
     spark = df.sparkSession
     complete = drop_incomplete(df, columns)
     vectors = _vectors(complete, columns).persist()
+    indexed = bootstrap_index(complete, keys) if stability_runs else None
     rows = []
     try:
         for k in ks:
@@ -122,15 +127,18 @@ def k_sweep(
                 F.col("prediction").alias("label"),
             )
             stability = (
-                stability_bootstrap(complete, columns, k, stability_runs, n_init, seed, keys)
+                stability_bootstrap(complete, columns, k, stability_runs, n_init, seed, keys, indexed)
                 .agg(F.avg("adjusted_rand")).first()[0] if stability_runs else None
             )
-            rows.append((k, float(model.summary.trainingCost),
-                         float(silhouette(points).first()[0]), stability))
+            points = stage(points, "labelled-points")
+            dims = len(columns)
+            rows.append((k, float(model.summary.trainingCost), float(silhouette(points).first()[0]),
+                         calinski_harabasz(points, dims=dims).first()[0],
+                         davies_bouldin(points, dims=dims).first()[0], stability))
     finally:
         vectors.unpersist()
     return spark.createDataFrame(
-        rows, "k int, inertia double, silhouette double, stability double"
+        rows, SCORES
     )
 
 
@@ -219,59 +227,76 @@ def _cut(merges: list[tuple[int, int, float, int]], leaves: int, k: int) -> list
     return [order[r] for r in roots]
 
 
+@dataclass
+class WardTree:
+    """Rows with the number of their leaf, and the merges of the leaves."""
+
+    leaves: DataFrame
+    n_leaves: int
+    merges: list
+
+
 @dataclass
 class WardClusters:
-    """Labelled rows and the merge table (left, right, height, size) of the micro-clusters."""
+    """Labelled rows and the merge table (left, right, height, size) of the leaves."""
 
     labelled: DataFrame
     merges: DataFrame
 
 
-def ward_clusters(
-    df: DataFrame, columns: Sequence[str], k: int, micro: int = 256, seed: int = 42,
-    order_by: str | None = None, label: str = "regime",
-) -> WardClusters:
-    """Ward clusters cut at ``k`` (M9).
+def ward_tree(df: DataFrame, columns: Sequence[str], micro: int = 256, seed: int = 42) -> WardTree:
+    """The Ward tree over at most ``micro`` k-means centres, weighted by their rows (M9).
 
-    At most ``micro`` distinct points are merged as they are, which is plain Ward. More are first
-    condensed to ``micro`` k-means centres with their counts; only those reach the driver.
+    The rows are condensed in the same way at every size; only centres and counts reach the driver.
     """
-    spark = df.sparkSession
-    complete = drop_incomplete(df, columns)
-    order_by = order_by or columns[0]
-    distinct = complete.groupBy(*columns).agg(F.count(F.lit(1)).alias("__n")).limit(micro + 1)
-    few = distinct.collect()
-    if len(few) <= micro:
-        few = sorted(few, key=lambda r: tuple(r[c] for c in columns))
-        centres = np.array([[float(r[c]) for c in columns] for r in few])
-        counts = np.array([r["__n"] for r in few])
-        leaves = spark.createDataFrame(
-            [tuple(r[c] for c in columns) + (i,) for i, r in enumerate(few)],
-            complete.select(*columns, F.lit(0).alias("__leaf")).schema,
-        )
-        condensed = complete.join(leaves, list(columns))
-    else:
-        vectors = _vectors(complete, columns).persist()
-        model = KMeans(featuresCol=VECTOR, predictionCol="__leaf", k=micro, seed=seed,
-                       maxIter=20).fit(vectors)
+    vectors = _vectors(drop_incomplete(df, columns), columns).persist()
+    try:
+        model = KMeans(featuresCol=VECTOR, predictionCol="__leaf", k=micro, seed=seed, maxIter=20).fit(vectors)
+        condensed = stage(model.transform(vectors).drop(VECTOR), "ward-leaves")
+    finally:
         vectors.unpersist()
-        condensed = model.transform(vectors).drop(VECTOR)
-        sizes = {r["__leaf"]: r["count"] for r in condensed.groupBy("__leaf").count().collect()}
-        used = sorted(sizes)
-        centres = np.array(model.clusterCenters())[used]
-        counts = np.array([sizes[i] for i in used])
-        condensed = condensed.withColumn("__leaf", _relabel(F.col("__leaf"), used))
-    merges = _ward_merges(centres, counts)
-    clusters = _cut(merges, len(centres), k)
-    of_leaf = F.array(*[F.lit(c) for c in clusters])[F.col("__leaf")]
-    raw = stage(condensed.withColumn("__raw", of_leaf).drop("__leaf"), "ward")
+    sizes = {r["__leaf"]: r["count"] for r in condensed.groupBy("__leaf").count().collect()}
+    used = sorted(sizes)
+    merges = _ward_merges(np.array(model.clusterCenters())[used], np.array([sizes[i] for i in used]))
+    return WardTree(condensed.withColumn("__leaf", _relabel(F.col("__leaf"), used)), len(used), merges)
+
+
+def ward_exact_tree(df: DataFrame, columns: Sequence[str], most: int = 2048) -> WardTree:
+    """Plain Ward over the distinct points, an error beyond ``most`` of them: for small tables only."""
+    complete = drop_incomplete(df, columns)
+    points = complete.groupBy(*columns).agg(F.count(F.lit(1)).alias("__n")).limit(most + 1).collect()
+    if len(points) > most:
+        raise ValueError(f"more than {most} distinct points; use ward_tree")
+    points = sorted(points, key=lambda r: tuple(r[c] for c in columns))
+    centres = np.array([[float(r[c]) for c in columns] for r in points])
+    leaves = df.sparkSession.createDataFrame(
+        [tuple(r[c] for c in columns) + (i,) for i, r in enumerate(points)],
+        complete.select(*columns, F.lit(0).alias("__leaf")).schema,
+    )
+    merges = _ward_merges(centres, np.array([r["__n"] for r in points]))
+    return WardTree(stage(complete.join(leaves, list(columns)), "ward-leaves"), len(points), merges)
+
+
+def ward_cut(tree: WardTree, k: int, order_by: str, label: str = "regime") -> WardClusters:
+    """The tree cut at ``k`` clusters, numbered by ascending mean of ``order_by``."""
+    clusters = _cut(tree.merges, tree.n_leaves, k)
+    raw = tree.leaves.withColumn("__raw", F.array(*[F.lit(c) for c in clusters])[F.col("__leaf")])
     means = raw.groupBy("__raw").agg(F.avg(order_by).alias("m")).orderBy("m", "__raw").collect()
+    own = [c for c in tree.leaves.columns if c not in ("__leaf", label)]
     labelled = raw.withColumn(label, _relabel(F.col("__raw"), [r["__raw"] for r in means]))
-    table = spark.createDataFrame(
-        [(step, *m) for step, m in enumerate(merges)],
-        "step int, left int, right int, height double, size int",
+    table = tree.leaves.sparkSession.createDataFrame(
+        [(step, int(i), int(j), float(h), int(n)) for step, (i, j, h, n) in enumerate(tree.merges)],
+        "step int, left int, right int, height double, size bigint",
     )
-    return WardClusters(labelled.drop("__raw").select(*df.columns, label), table)
+    return WardClusters(labelled.select(*own, label), table)
+
+
+def ward_clusters(
+    df: DataFrame, columns: Sequence[str], k: int, micro: int = 256, seed: int = 42,
+    order_by: str | None = None, label: str = "regime",
+) -> WardClusters:
+    """Ward clusters cut at ``k`` over condensed rows, see ``ward_tree`` (M9)."""
+    return ward_cut(ward_tree(df, columns, micro, seed), k, order_by or columns[0], label)
 
 
 def truncated_tree(merges: DataFrame, leaves: int = 12) -> DataFrame:
@@ -289,16 +314,24 @@ def _labels(df: DataFrame, columns: Sequence[str], k: int, method: str, n_init:
 
 
 def sample_exactly(df: DataFrame, keys: Sequence[str], share: float, seed: int) -> DataFrame:
-    """A seeded sample of a set size without replacement.
+    """A seeded sample of ``floor(n * share)`` rows without replacement.
 
     Rows are ranked by a hash of their keys and cut at an exact quantile, so no task sees them all.
+    The keys must be unique; where they are not, rows with equal keys make the size inexact and
+    the sample is refused.
     """
     hashed = df.withColumn(
         "__u", F.pmod(F.xxhash64(*keys, F.lit(seed)), F.lit(1 << 52)).cast("double")
     )
     n = hashed.count()
-    cut = quantile_nearest(hashed, "__u", (int(n * share) - 1) / max(n - 1, 1)).first()[0]
-    return hashed.where(F.col("__u") <= cut).drop("__u")
+    size = int(n * share)
+    if size < 1:
+        return df.limit(0)
+    cut = quantile_nearest(hashed, "__u", (size - 1) / max(n - 1, 1)).first()[0]
+    drawn = hashed.where(F.col("__u") <= cut)
+    if drawn.count() != size:
+        raise ValueError("the keys of a sampled table must be unique")
+    return drawn.drop("__u")
 
 
 def stability_subsample(
@@ -316,34 +349,37 @@ def stability_subsample(
     return df.sparkSession.createDataFrame(scores, "run int, adjusted_rand double")
 
 
-def bootstrap_counts(df: DataFrame, keys: Sequence[str], seed: int) -> DataFrame:
+def bootstrap_index(df: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """``df`` with a number ``__i`` from 0 without gaps, staged: every bootstrap sample draws from it."""
+    indexed = positions(df.withColumn("__all", F.lit(0)), ["__all"], [keys[-1], *keys[:-1]], "__i")
+    return stage(indexed.drop("__all"), "indexed")
+
+
+def bootstrap_counts(indexed: DataFrame, seed: int) -> DataFrame:
     """Rows drawn with replacement, as many draws as rows: each drawn row once, with its count."""
-    indexed = stage(
-        positions(df.withColumn("__all", F.lit(0)), ["__all"], [keys[-1], *keys[:-1]], "__i"),
-        "indexed",
-    )
     n = indexed.count()
     draws = (
-        df.sparkSession.range(n)
+        indexed.sparkSession.range(n)
         .select(F.pmod(F.xxhash64("id", F.lit(seed)), F.lit(n)).alias("__i"))
         .groupBy("__i").agg(F.count(F.lit(1)).cast("double").alias("__weight"))
     )
-    return indexed.join(draws, "__i").drop("__all", "__i")
+    return indexed.join(draws, "__i").drop("__i")
 
 
 def stability_bootstrap(
     df: DataFrame, columns: Sequence[str], k: int, runs: int = 5, n_init: int = 10, seed: int = 42,
-    keys: Sequence[str] = KEYS,
+    keys: Sequence[str] = KEYS, indexed: DataFrame | None = None,
 ) -> DataFrame:
     """Agreement of two independently started k-means fits on one bootstrap sample.
 
-    Repeated rows are weights, so a sample is never larger than the data.
+    Repeated rows are weights, so a sample is never larger than the data. ``indexed`` is the
+    ``bootstrap_index`` of the complete rows, where several calls share it.
     """
-    complete = drop_incomplete(df, columns)
+    if indexed is None:
+        indexed = bootstrap_index(drop_incomplete(df, columns), keys)
     scores = []
     for run in range(runs):
-        drawn = stage(bootstrap_counts(complete, keys, seed + run), "bootstrap")
-        vectors = _vectors(drawn, columns).persist()
+        vectors = _vectors(bootstrap_counts(indexed, seed + run), columns).persist()
         first = fit_kmeans(vectors, k, n_init, seed + 1000 * run + 1, "__weight")
         second = fit_kmeans(vectors, k, n_init, seed + 1000 * run + 501, "__weight")
         both = second.setPredictionCol("__b").transform(

@@ -13,8 +13,8 @@ from volsmith.operators.clean import select_features
 from volsmith.operators.indices import calinski_harabasz, davies_bouldin, silhouette
 from volsmith.operators.metrics import setup_means
 from volsmith.operators.regimes import (
-    Components, drop_incomplete, k_sweep, kmeans, pca_by_variance, stability_bootstrap,
-    stability_subsample, ward_clusters,
+    KEYS, SCORES, Components, bootstrap_index, drop_incomplete, k_sweep, kmeans, pca_by_variance,
+    stability_bootstrap, stability_subsample, ward_cut, ward_tree,
 )
 from volsmith.operators.scaling import standardise
 from volsmith.session import stage
@@ -54,15 +54,13 @@ def regime_discovery(
     """
     spark = daily.sparkSession
     columns = select_features(daily, ("date", "ticker", "year", "regime"))
-    complete = stage(drop_incomplete(daily, columns), "complete-days")
+    # An older label in the input gives way to the new one.
+    complete = stage(drop_incomplete(daily, columns).drop("regime"), "complete-days")
     n_incomplete = daily.count() - complete.count()
     scaled = stage(standardise(complete, columns), "scaled-days")
     components = pca_by_variance(scaled, columns, share)
     used = components.columns
     scored = components.scored
-    schema = ("k int, inertia double, silhouette double, calinski_harabasz double, "
-              "davies_bouldin double, stability double")
-
     if method not in ("kmeans", "ward"):
         raise ValueError("method is 'kmeans' or 'ward'")
     if method == "kmeans" and best_k == 0:
@@ -70,16 +68,20 @@ def regime_discovery(
         return RegimeRun(None, components, sweep, n_incomplete)
 
     rows, labels = [], None
-    for k in ([best_k] if best_k else ks):
+    ks = [best_k] if best_k else list(ks)
+    # The tree and the numbers that samples draw from are the same for every k.
+    tree = ward_tree(scored, used, seed=seed) if method == "ward" else None
+    indexed = bootstrap_index(scored, KEYS) if method == "kmeans" and stability else None
+    for k in ks:
         inertia = agreement = None
         if method == "kmeans":
             fitted = kmeans(scored, used, k, n_init, seed, order_by)
             clustered, inertia = fitted.labelled, fitted.inertia
             if stability:
-                agreement = stability_bootstrap(scored, used, k, runs, n_init, seed).agg(
+                agreement = stability_bootstrap(scored, used, k, runs, n_init, seed, indexed=indexed).agg(
                     F.avg("adjusted_rand")).first()[0]
         else:
-            clustered = ward_clusters(scored, used, k, seed=seed, order_by=order_by).labelled
+            clustered = stage(ward_cut(tree, k, order_by).labelled, "ward")
             if stability:
                 agreement = stability_subsample(
                     scored, used, k, runs, method="ward", seed=seed
@@ -88,9 +90,8 @@ def regime_discovery(
         rows.append((k, inertia, quality["silhouette"], quality["calinski_harabasz"],
                      quality["davies_bouldin"], agreement))
         if best_k:
-            keys = ["ticker", "date"]
-            labels = complete.join(clustered.select(*keys, "regime"), keys)
-    return RegimeRun(labels, components, spark.createDataFrame(rows, schema), n_incomplete)
+            labels = complete.join(clustered.select(*KEYS, "regime"), list(KEYS))
+    return RegimeRun(labels, components, spark.createDataFrame(rows, SCORES), n_incomplete)
 
 
 def setup_sweep(
