@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from volsmith.llm import bpe, licenses, lines, near_dedup, packing, paragraphs, quality, secret_scan, warc
 from volsmith.llm import exact_dedup as exact
 from volsmith.llm.common import text_of
+from volsmith.llm.oracles import ORACLES  # noqa: F401
 from volsmith.session import stage
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -95,4 +96,4 @@ QUERIES: dict[str, Query] = {
     "op9_quality": op9_quality,
     "op10_licenses": op10_licenses,
 }
-ORACLES: dict[str, str] = {}
+
