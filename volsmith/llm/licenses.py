@@ -8,7 +8,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from volsmith.llm.common import UPPER, as_row, back_to_columns, lower_az, text_of
+from volsmith.llm.common import UPPER, back_to_columns, lower_az, text_of
 
 #: Characters that stand between words; words are ASCII letters and digits and all beyond ASCII.
 GAP = "\\x00-\\x2F\\x3A-\\x40\\x5B-\\x60\\x7B-\\x7F"
@@ -88,7 +88,7 @@ def _starts(words: Column, phrase: str) -> Column:
 
 
 def license_scan(docs: DataFrame, text: str = "text", templates: dict[str, str] | None = None,
-                 threshold: float = THRESHOLD) -> DataFrame:
+                 threshold: float = THRESHOLD, carry: list[str] | None = None) -> DataFrame:
     """Every row of ``docs`` with its license phrases, labels and score.
 
     Words are runs of ASCII letters, digits and characters beyond ASCII, A-Z in lower case.
@@ -96,7 +96,8 @@ def license_scan(docs: DataFrame, text: str = "text", templates: dict[str, str]
     ``labels`` adds the templates that a block (a line) contains to the ``threshold``. ``score``
     is 1 where a fixed phrase stands, else the greatest containment of a matching template, else
     0. Only lines with an indexed word are split into tokens and joined; what they match is summed up
-    by document before it meets the document again. A null or empty text has no words; repeated rows
+    by document before it meets the document again. ``carry`` names the columns of ``docs`` to return
+    (all by default); those left out are not shuffled. A null or empty text has no words; repeated rows
     are labelled alike; an empty table gives an empty result. A column of ``docs`` that has the
     name of an added one is replaced.
     """
@@ -106,7 +107,10 @@ def license_scan(docs: DataFrame, text: str = "text", templates: dict[str, str]
     rare = sorted({row[0] for row in prefix_index(templates, ranks, threshold)})
     has_rare = f"(?i)(?<![^{GAP}])(?:{'|'.join(rare)})(?![^{GAP}])"
 
-    placed = as_row(docs, text_of(text).alias("body"), F.monotonically_increasing_id().alias("place"))
+    carry = docs.columns if carry is None else carry
+    own = docs.select(*carry, text_of(text).alias("__body"), F.monotonically_increasing_id().alias("__place"))
+    placed = own.select(F.struct(*[F.col(f"`{c}`") for c in carry]).alias("row"), F.col("__body").alias("body"),
+                        F.col("__place").alias("place"))
     lines = placed.where(F.col("body").rlike(has_rare)).select("place", F.posexplode(F.split("body", "\n")).alias("line", "said"))
     by_rank = F.array(*[F.lit(w) for w in sorted(vocabulary, key=ranks.__getitem__)])
     held = F.array_intersect(by_rank, F.split(lower_az(F.col("said")), f"[{GAP}]+"))
@@ -134,4 +138,4 @@ def license_scan(docs: DataFrame, text: str = "text", templates: dict[str, str]
         F.array_join(F.sort_array("held"), ",").alias("base_labels"),
         F.array_join(F.sort_array(F.array_union("held", F.coalesce("found", F.array().cast("array<string>")))), ",").alias("labels"),
         F.when(F.size("places") > 0, F.lit(1.0)).otherwise(F.coalesce("best", F.lit(0.0))).alias("score"))
-    return back_to_columns(result, docs.columns, ADDED)
+    return back_to_columns(result, carry, ADDED)

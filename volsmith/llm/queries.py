@@ -81,7 +81,7 @@ def op9_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op10_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return licenses.license_scan(table(spark, sf_dir, "documents")).select("doc_id", *licenses.ADDED)
+    return licenses.license_scan(table(spark, sf_dir, "documents"), carry=["doc_id"]).select("doc_id", *licenses.ADDED)
 
 
 QUERIES: dict[str, Query] = {
