@@ -155,10 +155,12 @@ def test_lags_share_one_sort(spark, sf):
     assert plan.count("Exchange") <= 4
 
 
-def test_daily_features_shuffle_once(spark, sf):
-    plan = plan_of(features.daily_iv_features(view(spark, sf, "quotes")))
-    tree = plan.split("\n\n")[0]
-    assert tree.count("Exchange") == 1 and "partial_min_by" in plan
+def test_daily_features_hash_raw_rows(spark, sf, monkeypatch):
+    seen = []
+    monkeypatch.setattr(features, "stage", lambda df, name: (seen.append(plan_of(df)), stage(df, name))[1])
+    features.daily_iv_features(view(spark, sf, "quotes"))
+    tree = seen[0].split("\n\n")[0]
+    assert "Sort" not in tree and tree.count("Exchange") == 1 and "HashAggregate" in tree
 
 
 def test_scan_pushes_filters_and_columns(spark, sf, tmp_path):
