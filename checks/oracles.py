@@ -489,6 +489,25 @@ binned as (select q.ticker, lo, hi,
 select ticker, bin, {r('lo + bin * (hi - lo) / 50', 'left_edge', 6)},
     {r('lo + (bin + 1) * (hi - lo) / 50', 'right_edge', 6)}, count(*) as n
 from binned group by ticker, bin, lo, hi""", "quotes")
+add("kde", f"""
+with limits as (
+    select ticker, min(strike_price) as lo, max(strike_price) as hi, count(strike_price) as n,
+        stddev_samp(strike_price) * pow(cast(count(strike_price) as double), -0.2) as bandwidth
+    from quotes group by 1),
+binned as (
+    select ticker, cast(least(floor((strike_price - lo) / (hi - lo) * 1000), 999) as int) as bin, count(*) as held
+    from quotes join limits using (ticker) where strike_price is not null group by 1, 2),
+placed as (
+    select ticker, held, n, bandwidth, lo, hi,
+        (lo + bin * ((hi - lo) / 1000) + (lo + (bin + 1) * ((hi - lo) / 1000))) / 2 as centre
+    from binned join limits using (ticker)),
+spread as (
+    select *, cast(step as int) as grid_step, lo + step * (hi - lo) / 199 as x
+    from placed, (select unnest(range(200)) as step) where bandwidth > 0)
+select ticker, grid_step as step, round(min(x) + {SHIFT}, 9) + 0.0 as x,
+    round(sum(exp(-((x - centre) / bandwidth) * ((x - centre) / bandwidth) / 2)
+        / (bandwidth * sqrt(2 * pi())) * held / n) + {SHIFT}, 9) + 0.0 as density
+from spread group by ticker, grid_step""", "quotes")
 add("box_stats", f"""
 with {QUANTILE_BOX}
 select ticker, {r('any_value(q1)', 'q1')}, {r('any_value(med)', 'median')},

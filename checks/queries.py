@@ -745,7 +745,7 @@ def _(spark, sf):
 
 @register("kde")
 def _(spark, sf):
-    return charts.density(view(spark, sf, "quotes"), "strike_price", by=["ticker"])
+    return rounded(charts.density(view(spark, sf, "quotes"), "strike_price", by=["ticker"]), 9)
 
 
 @register("box_stats")

@@ -219,7 +219,7 @@ def test_histogram_edges(spark):
 
 def test_density_integrates_to_one(spark):
     df = spark.range(2000).select((F.randn(1) * 2 + 5).alias("v"))
-    curve = charts.density(df, "v", grid=400).orderBy("x").collect()
+    curve = charts.density(df, "v", grid=400, overhang=3.0).orderBy("x").collect()
     step = curve[1]["x"] - curve[0]["x"]
     assert sum(r["density"] for r in curve) * step == pytest.approx(1.0, abs=0.01)
 

@@ -236,7 +236,7 @@ def test_p_values():
 def test_density_matches_direct_sum(spark):
     values = np.random.default_rng(2).gamma(2.0, size=500)
     df = spark.createDataFrame([(float(v),) for v in values], "v double")
-    curve = charts.density(df, "v", grid=50).collect()
+    curve = charts.density(df, "v", grid=50, overhang=3.0).collect()
     width = values.std(ddof=1) * len(values) ** -0.2
     for row in curve:
         z = (row["x"] - values) / width

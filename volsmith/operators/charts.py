@@ -59,9 +59,12 @@ def histogram(
 
 def density(
     df: DataFrame, column: str, grid: int = 200, by: Iterable[str] = (), fine_bins: int = 1000,
+    overhang: float = 0.0,
 ) -> DataFrame:
     """Gaussian kernel density on a grid, Scott's bandwidth.
 
+    The curve ends at the data's own limits, or ``overhang`` bandwidths beyond them.
+
     The kernel is summed over fine histogram bins, so the work after one pass over the rows depends
     on ``fine_bins`` and ``grid`` only.
     """
@@ -79,7 +82,7 @@ def density(
         only = stats.first()
         joined = binned.withColumns({c: F.lit(only[c]) for c in stats.columns})
     bandwidth = F.col("__s") * F.pow(F.col("__n").cast("double"), F.lit(-0.2))
-    low, high = F.col("__lo") - 3 * bandwidth, F.col("__hi") + 3 * bandwidth
+    low, high = F.col("__lo") - overhang * bandwidth, F.col("__hi") + overhang * bandwidth
     point = low + F.col("step") * (high - low) / (grid - 1)
     z = (point - F.col("__x")) / bandwidth
     kernel = F.exp(-z * z / 2) / (bandwidth * math.sqrt(2 * math.pi))

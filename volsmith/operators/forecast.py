@@ -142,7 +142,7 @@ class DirectForecast:
     trials: DataFrame
 
 
-# The settings trials are drawn from.
+# The settings that trials are drawn from.
 TRIAL_GRID = {
     "kind": ["gbt", "forest", "linear"],
     "depth": [2, 3, 4, 5],
