@@ -12,7 +12,7 @@ from volsmith.session import stage
 
 #: Most rounds in which a member is held against two members of its lists, before all pairs of
 #: members that are still apart; a round without a link ends them.
-STAR_ROUNDS = 6
+STAR_ROUNDS = 4
 
 
 def list_components(lists: DataFrame, carried: list[str], verified: Callable[[DataFrame], DataFrame],
