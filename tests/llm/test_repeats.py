@@ -127,9 +127,9 @@ def simhash(said):
 
 def test_lines_all_pairs(spark, tmp_path):
     rng = random.Random(4)
-    bases = [words(rng, n) for n in (6, 40, 90, 150)]
+    bases = [words(rng, n) for n in (6, 25, 45)]
     docs = []
-    for i in range(60):
+    for i in range(40):
         own = [words(rng, rng.randrange(1, 30)) for _ in range(2)]
         own += [edited(rng, b, rng.choice([0, 0, 1])) for b in bases if rng.random() < 0.5]
         rng.shuffle(own)
@@ -138,7 +138,7 @@ def test_lines_all_pairs(spark, tmp_path):
     found = lines.fuzzy_lines(spark.read.parquet(str(tmp_path / "d"))).collect()
     expected = fuzzy_by_all_pairs(plain_lines(docs))
     assert {tuple(r) for r in found} == expected and len(found) == len(expected)
-    assert any(plain_lines([docs[r[0]]])[0] for r in expected)
+    assert {r[3] for r in expected} and any(not r[5] for r in expected)
 
 
 def test_lines_query(spark, sf):
