@@ -177,6 +177,17 @@ def test_whole_texts_give_the_same_ids(spark, sf):
     assert rows(by_match, "doc_id", "piece", "token_ids") == rows(packing.token_pieces(docs, JSON, 2), "doc_id", "piece", "token_ids")
 
 
+def test_added_tokens_keep_their_ids(spark):
+    texts = ["one <|endoftext|> two", "<|endoftext|>", "a<|endoftext|><|endoftext|>b", "<|endoftext|", "plain text  with\n\nblanks ", ""]
+    frame = spark.createDataFrame([(i, t, None, None, None) for i, t in enumerate(texts)], DOCS)
+    tokenizer = Tokenizer.from_file(JSON)
+    expected = {i: [*tokenizer.encode(t, add_special_tokens=False).ids, 2] for i, t in enumerate(texts)}
+    assert 50256 in expected[0]
+    for pattern in (public_tokenizers.PATTERN, None):
+        pieces = packing.token_pieces(frame, JSON, 2, pattern).collect()
+        assert {r["doc_id"]: np.frombuffer(r["token_ids"], "<u4").tolist() for r in pieces} == expected
+
+
 def test_packing_in_many_rounds(spark):
     """Small blocks, so that bins meet over several rounds of several tasks."""
     lengths = np.random.default_rng(3).integers(1, 1025, 4000).tolist()

@@ -28,27 +28,38 @@ REMEMBERED, LONGEST = 400_000, 64
 
 
 class _Ids:
-    """Ids of texts by a tokenizer; of texts split by its own pattern, each distinct match once."""
+    """Ids of texts by a tokenizer; of texts split by its own pattern, each distinct match once.
+
+    Added tokens come before the pattern and may span its matches, so a text that holds one is encoded whole.
+    """
 
     def __init__(self, content: bytes, pattern: str | None) -> None:
         os.environ["TOKENIZERS_PARALLELISM"] = "false"  # Spark runs the tasks side by side
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_str(content.decode())
-        self.tokenizer.encode_special_tokens = True
-        self.split = regex.compile(pattern).findall if pattern else lambda text: [text]
+        added = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
+        # A normaliser may turn other texts into added tokens, or change matches by what is around them.
+        by_match = pattern and self.tokenizer.normalizer is None
+        holds_added = regex.compile("|".join(map(regex.escape, added)) if added else "(?!)").search
+        self.is_whole = holds_added if by_match else lambda text: True
+        self.split = regex.compile(pattern).findall if by_match else None
         self.known: dict[str, np.ndarray] = {}
 
     def of_batch(self, texts: list[str]) -> list[np.ndarray]:
         if len(self.known) >= REMEMBERED:
             self.known.clear()
-        matches = [self.split(t) if t else [] for t in texts]
+        whole = [i for i, t in enumerate(texts) if t and self.is_whole(t)]
+        coded = self.tokenizer.encode_batch_fast([texts[i] for i in whole], add_special_tokens=False)
+        of_whole = {i: np.array(e.ids, dtype="<u4") for i, e in zip(whole, coded, strict=True)}
+        matches = [self.split(t) if t and i not in of_whole else [] for i, t in enumerate(texts)]
         known = self.known
         # Long matches are looked up once and not kept.
         fresh = list(set().union(*matches).difference(known))
         for m, e in zip(fresh, self.tokenizer.encode_batch_fast(fresh, add_special_tokens=False), strict=True):
             known[m] = np.array(e.ids, dtype="<u4").tobytes()
-        found = [np.frombuffer(b"".join(map(known.__getitem__, own)), dtype="<u4") for own in matches]
+        found = [of_whole[i] if i in of_whole else np.frombuffer(b"".join(map(known.__getitem__, own)), dtype="<u4")
+                 for i, own in enumerate(matches)]
         for m in fresh:
             if len(m) > LONGEST:
                 del known[m]
@@ -66,7 +77,8 @@ def token_pieces(docs: DataFrame, tokenizer_path: str, end_id: int, pattern: str
 
     A document is its ids and ``end_id``. Only documents longer than ``capacity`` are cut; all
     pieces but the first are then full. ``pattern`` is the expression by which the tokenizer itself
-    splits text; with it, distinct matches are encoded once, which changes no id. Null and empty
+    splits text; with it, distinct matches are encoded once, but for texts that hold one of the tokenizer's
+    added tokens; either way the ids are those of the tokenizer for the whole text. Null and empty
     texts are one piece of the end id. Rows that repeat a key are documents of their own.
     """
     ship_package(docs.sparkSession)
