@@ -115,10 +115,85 @@ select doc_id, n_words, len(places) as n_base, list_min(places) as first_word, l
 from b left join found using (doc_id)"""
 
 
+def _vector_codes(parts: int = 8, entries: int = 16, rounds: int = 6) -> str:
+    """Assignment and integer means unrolled round by round; whole numbers throughout."""
+    steps = [f"""
+with v as materialized (
+    select vec_id, label, list_transform(embedding, lambda x: cast(floor(4096 * cast(x as double)) as bigint)) as e from embeddings
+    where len(list_filter(embedding, lambda x: x is null or not isfinite(x))) = 0),
+p as materialized (
+    select vec_id, part, e[part * len(e) // {parts} + 1:(part + 1) * len(e) // {parts}] as x from v, range({parts}) t(part)),
+c0 as materialized (
+    select part, entry, x as c from (
+        select part, x, row_number() over (partition by part order by vec_id) - 1 as entry from p) where entry < {entries})"""]
+    for r in range(rounds + 1):
+        steps.append(f"""
+a{r} as materialized (
+    select vec_id, part, min(struct_pack(d := list_sum(list_transform(list_zip(x, c), lambda z: (z[1] - z[2]) * (z[1] - z[2]))),
+                                         entry := entry)) as best, any_value(x) as x
+    from p join c{r} using (part) group by vec_id, part)""")
+        if r < rounds:
+            steps.append(f"""
+m{r} as materialized (
+    select part, entry, list((s - ((s % n) + n) % n) // n order by i) as c from (
+        select part, best.entry as entry, i, cast(sum(x[i]) as bigint) as s, count(*) as n
+        from a{r}, range(1, 1 + (select max(len(x)) from p)) t(i) group by all) group by part, entry),
+c{r + 1} as materialized (
+    select part, entry, coalesce(m{r}.c, c{r}.c) as c from c{r} left join m{r} using (part, entry))""")
+    return ",".join(steps) + f""",
+coded as (
+    select vec_id, string_agg(printf('%02x', best.entry), '' order by part) as code, cast(sum(best.d) as bigint) as error
+    from a{rounds} group by vec_id),
+books as (
+    select sha256(string_agg(array_to_string(c, ','), ',' order by part, entry)) as codebooks_sha256 from c{rounds})
+select vec_id, code, error, cast(sum(error) over (partition by label) as bigint) as label_error, codebooks_sha256
+from coded join v using (vec_id), books"""
+
+
+COLLOCATIONS = rf"""
+with d as (
+    select coalesce(lang, 'und') as lang, translate(coalesce(text, ''), '{UPPER}', '{LOWER}') as t from documents),
+pieces as (select lang, unnest(string_split_regex(t, '[.,;:!?\x0A-\x0D]')) as piece from d),
+w as (select lang, regexp_extract_all(piece, '[^\x20\x09]+') as w from pieces),
+totals as (select lang, sum(len(w)) as n from w group by lang),
+f1 as (select lang, w1, count(*) as f from (select lang, unnest(w) as w1 from w) group by all),
+f2 as (
+    select lang, g.a as w1, g.b as w2, count(*) as f from (
+        select lang, unnest(list_transform(range(1, len(w)), lambda i: struct_pack(a := w[i], b := w[i + 1]))) as g from w)
+    group by all),
+f3 as (
+    select lang, g.a as w1, g.b as w2, g.c as w3, count(*) as f from (
+        select lang, unnest(list_transform(range(1, len(w) - 1), lambda i: struct_pack(a := w[i], b := w[i + 1], c := w[i + 2]))) as g from w)
+    group by all having count(*) >= 10),
+three as (
+    select f3.lang, f3.w1, f3.w2, f3.w3, f3.f as a, x.f as l1, y.f as r1, z.f as l2, u.f as r2,
+           (1000000::hugeint * f3.f * f3.f) // (x.f::hugeint * y.f) as s1, (1000000::hugeint * f3.f * f3.f) // (z.f::hugeint * u.f) as s2
+    from f3 join f1 x on x.lang = f3.lang and x.w1 = f3.w1 join f2 y on y.lang = f3.lang and y.w1 = f3.w2 and y.w2 = f3.w3
+    join f2 z on z.lang = f3.lang and z.w1 = f3.w1 and z.w2 = f3.w2 join f1 u on u.lang = f3.lang and u.w1 = f3.w3),
+around as (
+    select lang, w1, w2, max(a) as most from (
+        select lang, w1, w2, a from three union all select lang, w2, w3, a from three) group by all),
+scored as (
+    select f2.lang, f2.w1 || ' ' || f2.w2 as phrase, f2.f as a, x.f as l, y.f as r,
+           (1000000::hugeint * f2.f * f2.f) // (x.f::hugeint * y.f) as score
+    from f2 join f1 x on x.lang = f2.lang and x.w1 = f2.w1 join f1 y on y.lang = f2.lang and y.w1 = f2.w2
+    left join around o on o.lang = f2.lang and o.w1 = f2.w1 and o.w2 = f2.w2
+    where f2.f >= 10 and not coalesce(100 * o.most >= 50 * f2.f, false)
+    union all
+    select lang, w1 || ' ' || w2 || ' ' || w3, a, case when s1 <= s2 then l1 else l2 end,
+           case when s1 <= s2 then r1 else r2 end, least(s1, s2) from three),
+ranked as (select *, row_number() over (partition by lang order by score desc, a desc, phrase) as rank from scored)
+select lang, cast(rank as bigint) as rank, phrase, cast(a as bigint) as a, cast(l as bigint) as l, cast(r as bigint) as r,
+       cast(n as bigint) as n, cast(score as bigint) as score
+from ranked join totals using (lang) where rank <= 2000"""
+
+
 ORACLES = {
     "op4_exact_dedup": EXACT,
     "op5_near_dedup": NEAR,
     "op7_warc": WARC,
     "op9_quality": QUALITY,
     "op10_licenses": _licenses(),
+    "op12_vector_codes": _vector_codes(),
+    "op13_collocations": COLLOCATIONS,
 }

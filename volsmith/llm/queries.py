@@ -8,7 +8,9 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from volsmith.llm import bpe, licenses, lines, near_dedup, packing, paragraphs, quality, secret_scan, warc
+from volsmith.llm import (
+    bpe, collocations, licenses, lines, near_dedup, packing, paragraphs, quality, secret_scan, sentencepieces, vector_codes, warc,
+)
 from volsmith.llm import exact_dedup as exact
 from volsmith.llm.common import text_of
 from volsmith.llm.oracles import ORACLES  # noqa: F401
@@ -84,6 +86,25 @@ def op10_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
     return licenses.license_scan(table(spark, sf_dir, "documents"), carry=["doc_id"]).select("doc_id", *licenses.ADDED)
 
 
+def op11_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = public_tokenizers.path("piece_bpe_32k.model")
+    coded = sentencepieces.encode(table(spark, sf_dir, "documents"), path, end_id=2, decoded=True)
+    decimal = F.array_join(F.col("token_ids").cast("array<string>"), " ")
+    return coded.select("doc_id", F.size("token_ids").cast("long").alias("n_tokens"),
+                        F.sha2(decimal, 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
+
+
+def op12_vector_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    coded = vector_codes.compress(table(spark, sf_dir, "embeddings"), also=["label"])
+    errors = vector_codes.error_by(coded.rows, "label")
+    return errors.select("vec_id", "code", "error", "label_error",
+                         F.lit(vector_codes.fingerprint(coded.codebooks)).alias("codebooks_sha256"))
+
+
+def op13_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return collocations.collocations(table(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Query] = {
     "op1_substring_dedup": op1_substring_dedup,
     "op2_line_dedup": op2_line_dedup,
@@ -95,5 +116,8 @@ QUERIES: dict[str, Query] = {
     "op8_bpe": op8_bpe,
     "op9_quality": op9_quality,
     "op10_licenses": op10_licenses,
+    "op11_sentencepiece": op11_sentencepiece,
+    "op12_vector_codes": op12_vector_codes,
+    "op13_collocations": op13_collocations,
 }
 
