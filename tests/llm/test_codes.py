@@ -49,12 +49,15 @@ def test_pieces_query(spark, library):
 
 
 @settings(max_examples=500, deadline=None)
-@given(st.text(alphabet="ab ▁\t\n　é漢<0x41>s/\x00", max_size=30))
+@given(st.text(alphabet="ab ▁\t\n\r　é漢<0x41>s/\x00", max_size=30))
 def test_words_make_up_any_text(text):
     model = Path(MODEL).read_bytes()
-    words = sentencepieces.marked_words(text) if text else []
-    found = [i for w in words for i in np.frombuffer(sentencepieces._segment(model, [w])[0], "<i4").tolist()]
-    assert found == sentencepieces._processor(model).encode(text) and sentencepieces.words_stand_alone(model)
+    ends = sentencepieces.borders(model)
+    assert ends == "▁\t\n"
+    words = sentencepieces.marked_words(text, ends) if text else []
+    assert "".join(words) == ("▁" + text.replace(" ", "▁") if text else "")
+    found = [i for w in sentencepieces.segmented(model, words) for i in np.frombuffer(w, "<i4").tolist()]
+    assert found == sentencepieces._processor(model).encode(text)
 
 
 def test_pieces_odd(spark, library):

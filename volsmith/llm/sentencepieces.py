@@ -3,22 +3,28 @@
 from __future__ import annotations
 
 import re
+from collections import defaultdict
 from collections.abc import Callable, Iterator
 from functools import lru_cache
 from pathlib import Path
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import sentencepiece
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from volsmith.llm.slices import SLICE_CHARS, sliced
-from volsmith.session import ship_package, stage
+from volsmith.llm.common import text_of
+from volsmith.session import ship_package
+
+#: Characters of texts whose distinct words make up one table.
+SLICE_CHARS = 4_000_000
 
 MARK = "▁"
-#: A marked word: the white space before it, and all up to the next white space.
-_WORD = re.compile(f"{MARK}+[^{MARK}]*").findall
+#: White space that stays as it is; where no piece holds such a character, words end before it too.
+PLAIN_SPACE = "\t\n\r"
 
 
 @lru_cache(maxsize=2)
@@ -26,36 +32,55 @@ def _processor(model: bytes) -> sentencepiece.SentencePieceProcessor:
     return sentencepiece.SentencePieceProcessor(model_proto=model)
 
 
-def words_stand_alone(model: bytes) -> bool:
-    """Whether a text's pieces are those of its marked words, one after another.
+@lru_cache(maxsize=2)
+def borders(model: bytes) -> str | None:
+    """Characters that no piece holds behind another one, the marker first; None if pieces may cross the marker.
 
-    So it is when no piece holds a marker after another character and the model neither drops nor adds
-    white space but for one marker in front: a merge across the border of two words would need a piece
-    that crosses it.
+    A merge across such a border would need a piece that crosses it, so a text's pieces are those of the
+    words between borders, one after another. The model may neither drop nor add white space but for one
+    marker in front.
     """
     processor = _processor(model)
-    pieces = map(processor.id_to_piece, range(processor.get_piece_size()))
+    pieces = [processor.id_to_piece(i) for i in range(processor.get_piece_size())]
     crossing = any(MARK in p.lstrip(MARK) for p in pieces)
     probe = "  a \t b  "
-    return not crossing and processor.normalize(probe) == MARK + probe.replace(" ", MARK)
+    if crossing or processor.normalize(probe) != MARK + probe.replace(" ", MARK):
+        return None
+    return MARK + "".join(c for c in PLAIN_SPACE if not any(c in p for p in pieces))
+
+
+@lru_cache(maxsize=4)
+def _words(ends: str) -> Callable[[str], list[str]]:
+    return re.compile(f"(?:{MARK}+|[{ends}])[^{ends}]*").findall
+
 
+def marked_words(text: str, ends: str) -> list[str]:
+    """The words of a text that is not empty: a run of markers or one other border, and all up to the next border."""
+    return _words(ends)(MARK + text.replace(" ", MARK))
 
-def marked_words(text: str) -> list[str]:
-    """The marked words of a text that is not empty, white space before a word belonging to it."""
-    return _WORD(MARK + text.replace(" ", MARK))
 
+def segmented(model: bytes, words: list[str]) -> list[bytes]:
+    """Ids of each word as little-endian 32-bit integers.
 
-def _segment(model: bytes, parts: list[str]) -> list[bytes]:
-    """Ids of marked words; the library puts the first marker in front by itself, but not before nothing."""
+    The library puts a marker in front of what it is given, but not before nothing; before a border that is no
+    marker it stays a piece of its own.
+    """
     run = _processor(model).encode
-    coded = run([p[1:] for p in parts])
-    if MARK in parts:
-        coded[parts.index(MARK)] = run(f"a{MARK}")[len(run("a")):]
-    return [np.array(ids, "<i4").tobytes() for ids in coded]
+    alone = run(f"a{MARK}")[len(run("a")):]
+    marked = [w[0] == MARK for w in words]
+    coded = run([w[1:] if m else w for w, m in zip(words, marked, strict=True)])
+    return [np.array(alone if w == MARK else ids if m else ids[len(alone):], "<i4").tobytes()
+            for w, m, ids in zip(words, marked, coded, strict=True)]
 
 
-def _splitter(alone: bool) -> Callable[[str], list[str]]:
-    return marked_words if alone else lambda text: [MARK + text]
+def _coded(model: bytes, texts: list[str], end: bytes) -> list[bytes]:
+    """Ids of each text by a table of the distinct words of all of them."""
+    if (ends := borders(model)) is None:
+        return [np.array(ids, "<i4").tobytes() + end for ids in _processor(model).encode(texts)]
+    places: defaultdict[str, int] = defaultdict(lambda: len(places))
+    codes = [list(map(places.__getitem__, marked_words(t, ends))) if t else [] for t in texts]
+    table = segmented(model, list(places))
+    return [b"".join(map(table.__getitem__, own)) + end for own in codes]
 
 
 def encode(docs: DataFrame, model_path: str, text: str = "text", key: str = "doc_id", end_id: int | None = None,
@@ -63,46 +88,32 @@ def encode(docs: DataFrame, model_path: str, text: str = "text", key: str = "doc
     """``key`` and ``token_ids`` (array) of every row; with ``decoded`` the text that they stand for.
 
     The ids are those of the sentencepiece library for the whole text, without sampling, then ``end_id``
-    if given. Texts become lists of places in their slice's table of distinct marked words
-    (``slices.sliced``); each word distinct in the corpus is segmented once; its ids go back to the slices
-    that hold it and are put together by place. A model whose pieces may cross white space has the
-    whole text as its one word. Null and empty texts have no ids but the end id and decode to the empty
-    text; equal texts share their words; rows that repeat a key are encoded by themselves; an
-    empty table gives an empty result; other columns are not read. The model file (of fixed size) is sent to
-    the executors.
+    if given. A task takes some ``chars`` characters of texts at a time (one text if it is longer), makes a
+    table of their distinct marked words, segments each of these once and puts the ids together by place,
+    so it needs no shuffle and holds no more than the texts at hand. A model whose pieces may cross white
+    space codes whole texts. Null and empty texts have no ids but the end id and decode to the empty
+    text; rows that repeat a key or text are encoded by themselves; an empty table gives an empty result;
+    other columns are not read. The model file (of fixed size) is sent to the executors.
     """
-    spark = docs.sparkSession
-    ship_package(spark)
-    content = Path(model_path).read_bytes()
-    model = spark.sparkContext.broadcast(content)
-    texts, parts = sliced(docs, _splitter(words_stand_alone(content)), [key], text, chars=chars)
-
-    def segment(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for whole in batches:
-            for at in range(0, whole.num_rows, 2000):
-                batch = whole.slice(at, 2000)
-                found = _segment(model.value, batch.column(0).to_pylist())
-                yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(found, pa.binary())], names=["part", "ids"])
-
-    table = stage(parts.select("part").distinct().mapInArrow(segment, "part string, ids binary"), "words")
-    looked_up = parts.select("slice", "place", "part").join(table, "part").select("slice", "place", "ids")
+    ship_package(docs.sparkSession)
+    model = docs.sparkSession.sparkContext.broadcast(Path(model_path).read_bytes())
     end = b"" if end_id is None else np.array([end_id], "<i4").tobytes()
     schema = T.StructType([docs.schema[key], T.StructField("token_ids", T.ArrayType(T.IntegerType()))]
                           + [T.StructField("decoded", T.StringType())] * decoded)
 
-    def join(left: pa.Table, right: pa.Table) -> pa.Table:
-        places = right.column("place").to_numpy()
-        ids: list[bytes] = [b""] * (int(places.max()) + 1 if len(places) else 0)
-        for place, own in zip(places.tolist(), right.column("ids").to_pylist(), strict=True):
-            ids[place] = own
-        coded = [b"".join(map(ids.__getitem__, np.frombuffer(c.as_py(), np.int32).tolist())) + end
-                 for c in left.column("codes")]
-        columns = [left.column(0), _lists(coded)]
-        if decoded:
-            columns.append(pa.array(_texts(model.value, coded), pa.string()))
-        return pa.Table.from_arrays(columns, names=schema.names)
-
-    return texts.groupBy("slice").cogroup(looked_up.groupBy("slice")).applyInArrow(join, schema)
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            size = np.cumsum(pc.utf8_length(batch.column(1)).to_numpy(zero_copy_only=False).astype(np.int64) + 16)
+            cuts = np.flatnonzero(np.diff(size // chars, prepend=0)).tolist()
+            for low, high in zip([0, *cuts], [*cuts, batch.num_rows]):
+                if low < high:
+                    coded = _coded(model.value, batch.column(1).slice(low, high - low).to_pylist(), end)
+                    columns = [batch.column(0).slice(low, high - low), _lists(coded)]
+                    if decoded:
+                        columns.append(pa.array(_texts(model.value, coded), pa.string()))
+                    yield pa.RecordBatch.from_arrays(columns, names=schema.names)
+
+    return docs.select(F.col(f"`{key}`"), text_of(f"`{text}`").alias("text")).mapInArrow(run, schema)
 
 
 def _lists(coded: list[bytes]) -> pa.Array:
