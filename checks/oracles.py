@@ -133,7 +133,7 @@ add("head_rows", """
 select symbol, ticker from quotes order by symbol limit 5""", "quotes")
 add("regime_discovery_days", f"""
 select date, ticker, {rs('atm_iv', 'skew', 'curvature')}, true as labelled from daily
-where ticker = 'T0' and atm_iv is not null and skew is not null and curvature is not null""", "daily")
+where atm_iv is not null and skew is not null and curvature is not null""", "daily")
 add("scan_rates", f"""
 select date, {r('treasury_2y')} from rates
 where date between date '1994-01-01' and date '1995-12-31'""", "rates")
@@ -428,8 +428,11 @@ ratios as (select a.cl, max((a.s + b.s) / sqrt({' + '.join(
     f'(a.c{i} - b.c{i}) * (a.c{i} - b.c{i})' for i in _DIMS)})) as worst
     from scored a join scored b on a.cl <> b.cl group by 1)
 select {r('avg(worst)', 'davies_bouldin', 6)} from ratios""", "points")
-add("silhouette", f"""
-with p as (select vec_id, label, cast(embedding as double[]) as x from points),
+
+
+def _silhouette(label: str) -> str:
+    return f"""
+with p as (select vec_id, {label} as label, cast(embedding as double[]) as x from points),
 sizes as (select label, count(*) as n from p group by 1),
 sums as (select a.vec_id, a.label, b.label as other, sum(list_distance(a.x, b.x)) as total
          from p a, p b group by 1, 2, 3),
@@ -437,8 +440,13 @@ ab as (select vec_id, max(case when label = other then n end) as n,
         max(case when label = other and n > 1 then total / (n - 1) end) as a,
         min(case when label <> other then total / n end) as b
        from (select s.*, z.n from sums s join sizes z on s.other = z.label) group by 1)
-select {r('avg(case when n = 1 then 0 else (b - a) / greatest(a, b) end)', 'silhouette', 6)}
-from ab""", "points")
+select {{}} {r('avg(case when n = 1 then 0 else (b - a) / greatest(a, b) end)', 'silhouette', 6)}
+from ab"""
+
+
+add("silhouette", _silhouette("label").format(""), "points")
+add("silhouettes", " union all ".join(
+    f"(select * from ({_silhouette(c).format(f'{chr(39)}{c}{chr(39)} as labeling,')}))" for c in ("label", "other")), "points")
 add("silhouette_sq", f"""
 with p as (select vec_id, label, cast(embedding as double[]) as x from points),
 sizes as (select label, count(*) as n from p group by 1),
@@ -565,3 +573,29 @@ select 'EWMA' as model, cast(null as double) as cv_mae, {r('avg(abs(y - yhat))',
     {r('1 - avg((y - yhat) * (y - yhat)) / var_pop(y)', 'r2')},
     {r('sqrt(avg((ln(1 + y) - ln(1 + yhat)) * (ln(1 + y) - ln(1 + yhat))))', 'rmsle')},
     {r('avg(abs(y - yhat) / abs(y))', 'mape')} from pairs""", "daily")
+_RIDGE_PENALTY = 0.1
+add("grouped_ridge", f"""
+with steps as (select ticker, date, atm_iv as x1, skew as x2,
+    lead(atm_iv, 1) over t as y1, lead(atm_iv, 2) over t as y2 from daily window t as (partition by ticker order by date)),
+placed as (select *, row_number() over (partition by ticker order by date) - 1 as pos, count(*) over (partition by ticker) as n
+    from steps where x1 is not null and x2 is not null and y1 is not null and y2 is not null),
+long as (select ticker, 1 as horizon, x1, x2, y1 as y, pos >= floor(n * cast(0.8 as double)) as test from placed
+    union all select ticker, 2, x1, x2, y2, pos >= floor(n * cast(0.8 as double)) from placed),
+moments as (select ticker, horizon, avg(x1) as m1, avg(x2) as m2, avg(y) as my, stddev_pop(x1) as s1, stddev_pop(x2) as s2,
+    stddev_pop(y) as sy, corr(x1, x2) as c, corr(x1, y) as c1, corr(x2, y) as c2 from long where not test group by 1, 2),
+slopes as (select *, ((1 + {_RIDGE_PENALTY}) * c1 - c * c2) / ((1 + {_RIDGE_PENALTY}) * (1 + {_RIDGE_PENALTY}) - c * c) * sy / s1 as b1,
+    ((1 + {_RIDGE_PENALTY}) * c2 - c * c1) / ((1 + {_RIDGE_PENALTY}) * (1 + {_RIDGE_PENALTY}) - c * c) * sy / s2 as b2 from moments),
+gaps as (select l.ticker, l.horizon, y - (my + b1 * (x1 - m1) + b2 * (x2 - m2)) as e
+    from long l join slopes s on l.ticker = s.ticker and l.horizon = s.horizon where test)
+select ticker, horizon, {r('avg(abs(e))', 'mae')}, {r('sqrt(avg(e * e))', 'rmse')} from gaps group by 1, 2""", "daily")
+_WINDOW_SET = """
+select ticker, date as end_date, {w} as w, {w} as steps, first_iv, skew as last_skew, y3 as last_target from (
+    select *, lag(atm_iv, {w} - 1) over t as first_iv, lead(atm_iv, 1) over t as y1, lead(atm_iv, 2) over t as y2,
+        lead(atm_iv, 3) over t as y3, row_number() over t as pos,
+        count(case when atm_iv is not null and skew is not null and curvature is not null then 1 end)
+            over (partition by ticker order by date rows between {w} - 1 preceding and current row) as whole
+    from daily window t as (partition by ticker order by date))
+where pos >= {w} and whole = {w} and y1 is not null and y2 is not null and y3 is not null"""
+add("window_sets", f"""
+select ticker, end_date, w, steps, {r('first_iv')}, {r('last_skew')}, {r('last_target')}
+from ({_WINDOW_SET.format(w=5)} union all {_WINDOW_SET.format(w=20)})""", "daily")

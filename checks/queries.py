@@ -19,7 +19,7 @@ from volsmith.operators import (
 )
 from volsmith.plans import extract, forecasting
 from volsmith.plans import regimes as regime_plans
-from volsmith.session import stage, staging_root
+from volsmith.session import fit_side_by_side, stage, staging_root
 from volsmith.sources import scans, schemas, sinks
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -704,24 +704,36 @@ def _(spark, sf):
     return regimes.stability_bootstrap(_scaled_daily(spark, sf), NUMERIC, 3)
 
 
+def _each_ticker(spark: SparkSession, sf: str, run: Callable[[DataFrame], DataFrame]) -> DataFrame:
+    """Regimes are found within a ticker: one run for each ticker of the table, side by side."""
+    daily = view(spark, sf, "daily")
+    tickers = sorted(r[0] for r in daily.select("ticker").distinct().collect())
+    found = fit_side_by_side(spark, lambda t: run(daily.where(F.col("ticker") == t)), tickers)
+    return joins.union_results(*found)
+
+
 @register("regime_discovery")
 def _(spark, sf):
-    daily = view(spark, sf, "daily").where(F.col("ticker") == "T0")
-    return regime_plans.regime_discovery(daily, "kmeans", 0.5, 3).labelled
+    return _each_ticker(spark, sf, lambda own: regime_plans.regime_discovery(own, "kmeans", 0.5, 3).labelled)
 
 
 @register("regime_discovery_days")
 def _(spark, sf):
-    daily = view(spark, sf, "daily").where(F.col("ticker") == "T0")
-    found = regime_plans.regime_discovery(daily, "kmeans", 0.5, 3, stability=False).labelled
+    found = _each_ticker(spark, sf, lambda own: regime_plans.regime_discovery(
+        own, "kmeans", 0.5, 3, stability=False).labelled)
     return rounded(found.withColumn("labelled", F.col("regime").between(0, 2)).drop("regime"))
 
 
 @register("setup_sweep")
 def _(spark, sf):
-    return regime_plans.setup_sweep(
-        view(spark, sf, "daily"), ["T0", "T1"], ["kmeans"], [0.5], stability=False, n_init=2,
-        ks=(2, 3))[1]
+    daily = view(spark, sf, "daily")
+    tickers = sorted(r[0] for r in daily.select("ticker").distinct().collect())
+    return regime_plans.setup_sweep(daily, tickers)[1]
+
+
+@register("silhouettes")
+def _(spark, sf):
+    return rounded(indices.silhouettes(view(spark, sf, "points"), ["label", "other"], "embedding"), 6)
 
 
 @register("adf_lag0")
@@ -797,8 +809,7 @@ def _(spark, sf):
 @register("ewma_baseline_row")
 def _(spark, sf):
     windows = stage(_windows(spark, sf), "windows")
-    return rounded(forecast.compare_regressors(windows, folds=2, models={
-        "linear": forecast.baseline_regressors()["linear"]}).where("model = 'EWMA'"))
+    return rounded(forecast.compare_regressors(windows).where("model = 'EWMA'"))
 
 
 @register("direct_forecast")
@@ -807,22 +818,51 @@ def _(spark, sf):
     return forecast.direct_forecast(windows).predictions
 
 
+@register("grouped_ridge")
+def _(spark, sf):
+    steps = sequences.build_sequences(view(spark, sf, "daily"), ["atm_iv", "skew"], "atm_iv", 1, 2)
+    found = forecast.forecast_by_group(steps, penalties=[0.1], inputs=["flat"])
+    return rounded(forecast.forecast_errors(found.predictions, ["ticker", "horizon"]).drop("mae_one_step"))
+
+
+@register("window_sets")
+def _(spark, sf):
+    sets = sequences.build_window_sets(view(spark, sf, "daily"), NUMERIC, "atm_iv", [5, 20], 3)
+    return rounded(sets.select("ticker", "end_date", "w", F.size("x").alias("steps"), F.col("x")[0][0].alias("first_iv"),
+                               F.element_at("x", -1)[1].alias("last_skew"), F.col("y")[2].alias("last_target")))
+
+
+def _setups(spark: SparkSession, sf: str) -> forecasting.SetupSequences:
+    return forecasting.setup_sequences(view(spark, sf, "daily"), features=NUMERIC)
+
+
+@register("ticker_forecasts")
+def _(spark, sf):
+    return forecasting.forecast_tickers(_setups(spark, sf)).predictions
+
+
+@register("ticker_forecast_errors")
+def _(spark, sf):
+    return forecasting.forecast_tickers(_setups(spark, sf)).errors
+
+
+@register("forecast_comparison")
+def _(spark, sf):
+    return forecasting.forecast_comparison(view(spark, sf, "daily"), features=NUMERIC)
+
+
 @register("saved_model")
 def _(spark, sf):
     windows = stage(_windows(spark, sf), "windows")
-    run = forecast.direct_forecast(windows, {"kind": ["linear"], "depth": [2], "rounds": [5],
-                                             "penalty": [0.0, 0.01]}, max_trials=2)
+    run = forecast.direct_forecast(windows)
     path = f"{staging_root(spark)}/model-{uuid.uuid4().hex}"
-    sinks.save_model(run.model, path)
-    loaded = type(run.model).load(path)
-    return spark.createDataFrame(
-        [(i, float(v)) for i, v in enumerate(loaded.coefficients)], "position int, weight double")
+    sinks.save_run(run.model, run.predictions, path)
+    saved = sinks.load_run(spark, path)
+    again = forecast.predict_test(saved.model, windows).withColumnRenamed("yhat", "again").drop("y")
+    return saved.predictions.join(again, ["ticker", "end_date", "horizon"]).select(
+        "ticker", "end_date", "horizon", "y", "yhat", (F.col("yhat") == F.col("again")).alias("same"))
 
 
 @register("experiment_grid")
 def _(spark, sf):
-    few = {name: forecast.baseline_regressors()[name] for name in ("linear", "lasso")}
-    return forecasting.run_grid(
-        view(spark, sf, "daily"), ["T0", "T1"], [60], 3, [False], [False], [False, True],
-        models=few, folds=2,
-    )[1]
+    return forecasting.run_grid(_setups(spark, sf))[1]

@@ -6,6 +6,7 @@ Points are an array column of doubles, clusters an integer-like column.
 from __future__ import annotations
 
 import math
+from collections.abc import Sequence
 
 import numpy as np
 import pandas as pd
@@ -111,74 +112,121 @@ def davies_bouldin(
     return row.select((total / F.size("cl")).alias("davies_bouldin"))
 
 
-def _block_distances(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
-    """Sum of distances from each left point to the right points of each cluster."""
-    a, b = np.stack(left["x"].to_numpy()), np.stack(right["x"].to_numpy())
-    squares = (a * a).sum(1)[:, None] + (b * b).sum(1)[None, :] - 2.0 * a @ b.T
-    near = squares < 1e-6 * ((a * a).sum(1)[:, None] + (b * b).sum(1)[None, :])
+def _distances(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    size = (a * a).sum(1)[:, None] + (b * b).sum(1)[None, :]
+    squares = size - 2.0 * a @ b.T
+    near = squares < 1e-6 * size
     if near.any():
         rows, cols = np.nonzero(near)
         squares[rows, cols] = ((a[rows] - b[cols]) ** 2).sum(1)
-    distance = np.sqrt(np.maximum(squares, 0.0))
-    clusters, codes = np.unique(right["label"].to_numpy(), return_inverse=True)
-    sums = distance @ np.eye(len(clusters))[codes]
-    return pd.DataFrame({
-        "id": np.repeat(left["id"].to_numpy(), len(clusters)),
-        "label": np.repeat(left["label"].to_numpy(), len(clusters)),
-        "other": np.tile(clusters, len(left)),
-        "total": sums.ravel(),
-    })
+    return np.sqrt(np.maximum(squares, 0.0))
 
 
-def silhouette(
-    df: DataFrame, features: str = "features", label: str = "label",
-    block_rows: int = SILHOUETTE_BLOCK,
+_SUMS = "id bigint, labeling int, label bigint, other bigint, total double"
+
+
+def _sums(ids: np.ndarray, labels: np.ndarray, others: np.ndarray, distance: np.ndarray) -> list[pd.DataFrame]:
+    """For each labeling, the distances of every point summed over each cluster of the other points."""
+    found = []
+    for m in range(labels.shape[1]):
+        clusters, codes = np.unique(others[:, m], return_inverse=True)
+        total = distance @ np.eye(len(clusters))[codes]
+        found.append(pd.DataFrame({
+            "id": np.repeat(ids, len(clusters)), "labeling": np.int32(m), "label": np.repeat(labels[:, m], len(clusters)),
+            "other": np.tile(clusters, len(ids)), "total": total.ravel()}))
+    return found
+
+
+def _block_sums(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
+    """Both directions from one distance matrix of a pair of blocks."""
+    if left.empty or right.empty:
+        return pd.DataFrame({"id": [], "labeling": [], "label": [], "other": [], "total": []}).astype(
+            {"id": "int64", "labeling": "int32", "label": "int64", "other": "int64", "total": "float64"})
+    a, b = (np.stack(side["x"].to_numpy()) for side in (left, right))
+    own, others = (np.stack(side["labels"].to_numpy()) for side in (left, right))
+    distance = _distances(a, b)
+    found = _sums(left["id"].to_numpy(), own, others, distance)
+    if left["block"].iloc[0] != right["peer"].iloc[0]:
+        found += _sums(right["id"].to_numpy(), others, own, distance.T)
+    return pd.concat(found)
+
+
+def silhouettes(
+    df: DataFrame, labels: Sequence[str], features: str = "features", block_rows: int = SILHOUETTE_BLOCK,
 ) -> DataFrame:
-    """Exact Euclidean silhouette (M4): mean of (b-a)/max(a,b), 0 for a point alone in its cluster.
+    """Exact Euclidean silhouette of several labelings (M4): labeling (its column), silhouette.
 
-    The distances of all points to all points are inherent. They are summed per cluster inside
-    each pair of blocks and never emitted; a task holds two blocks of about ``block_rows``
+    The mean of (b-a)/max(a,b), 0 for a point alone in its cluster. The distances of all points to all
+    points are inherent; they are taken once for all labelings and once for both directions, summed per
+    cluster inside each pair of blocks and never emitted. A task holds two blocks of about ``block_rows``
     points whatever the sizes of the clusters. For very large inputs see ``silhouette_sq``.
     """
     points = stage(
         df.select(
-            F.monotonically_increasing_id().alias("id"), F.col(label).cast("bigint").alias("label"),
+            F.monotonically_increasing_id().alias("id"), F.array(*[F.col(c).cast("bigint") for c in labels]).alias("labels"),
             F.col(features).cast("array<double>").alias("x"),
         ),
         "points",
     )
     blocks = max(1, math.ceil(points.count() / block_rows))
     numbered = points.withColumn("block", F.pmod(F.xxhash64("id"), F.lit(blocks)))
-    every = F.sequence(F.lit(0).cast("bigint"), F.lit(blocks - 1).cast("bigint"))
-    left = numbered.withColumn("peer", F.explode(every))
-    right = numbered.withColumnRenamed("block", "peer").withColumn("block", F.explode(every))
+    first, final = F.lit(0).cast("bigint"), F.lit(blocks - 1).cast("bigint")
+    left = numbered.withColumn("peer", F.explode(F.sequence(F.col("block"), final)))
+    right = numbered.withColumnRenamed("block", "peer").withColumn("block", F.explode(F.sequence(first, F.col("peer"))))
     sums = (
-        left.groupBy("block", "peer").cogroup(right.groupBy("block", "peer"))
-        .applyInPandas(_blocks, "id bigint, label bigint, other bigint, total double")
-        .groupBy("id", "label", "other").agg(F.sum("total").alias("total"))
+        left.groupBy("block", "peer").cogroup(right.groupBy("block", "peer")).applyInPandas(_block_sums, _SUMS)
+        .groupBy("id", "labeling", "label", "other").agg(F.sum("total").alias("total"))
     )
-    sizes = stage(points.groupBy("label").agg(F.count(F.lit(1)).alias("n")), "cluster-sizes")
+    sizes = stage(points.select(F.posexplode("labels").alias("labeling", "other")).groupBy("labeling", "other").agg(
+        F.count(F.lit(1)).alias("n")), "cluster-sizes")
     own = F.col("label") == F.col("other")
-    scored = (
-        sums.join(sizes.withColumnRenamed("label", "other"), "other")
-        .groupBy("id").agg(
-            F.max(F.when(own, F.col("n"))).alias("n"),
-            F.max(F.when(own & (F.col("n") > 1), F.col("total") / (F.col("n") - 1))).alias("a"),
-            F.min(F.when(~own, F.col("total") / F.col("n"))).alias("b"),
-        )
+    scored = sums.join(sizes, ["labeling", "other"]).groupBy("labeling", "id").agg(
+        F.max(F.when(own, F.col("n"))).alias("n"),
+        F.max(F.when(own & (F.col("n") > 1), F.col("total") / (F.col("n") - 1))).alias("a"),
+        F.min(F.when(~own, F.col("total") / F.col("n"))).alias("b"),
     )
     a, b = F.col("a"), F.col("b")
     largest = F.greatest(a, b)
     score = F.when((F.col("n") == 1) | (largest == 0), F.lit(0.0)).otherwise((b - a) / largest)
-    return scored.agg(F.avg(score).alias("silhouette"))
+    names = F.array(*[F.lit(c) for c in labels])
+    return scored.groupBy("labeling").agg(F.avg(score).alias("silhouette")).select(
+        names[F.col("labeling")].alias("labeling"), "silhouette")
 
 
-def _blocks(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
-    if left.empty or right.empty:
-        return pd.DataFrame({"id": [], "label": [], "other": [], "total": []}).astype(
-            {"id": "int64", "label": "int64", "other": "int64", "total": "float64"}
-        )
-    return _block_distances(left, right)
+def silhouette(
+    df: DataFrame, features: str = "features", label: str = "label",
+    block_rows: int = SILHOUETTE_BLOCK,
+) -> DataFrame:
+    """The silhouette of one labeling, see ``silhouettes``; NULL without points."""
+    return silhouettes(df, [label], features, block_rows).agg(F.max("silhouette").alias("silhouette"))
+
+
+def dispersion_indices(df: DataFrame, labels: Sequence[str], features: str = "features") -> dict[str, dict[str, float]]:
+    """Calinski-Harabasz and Davies-Bouldin (M5, M6) of several labelings from two shared passes.
+
+    The driver gets one row for each cluster of each labeling.
+    """
+    dims = _dimensions(df, features)
+    points = df.select(F.col(features).cast("array<double>").alias("x"), F.posexplode(
+        F.array(*[F.col(c).cast("bigint") for c in labels])).alias("labeling", "label"))
+    centres = stage(points.groupBy("labeling", "label").agg(
+        F.count(F.lit(1)).alias("n"), F.array(*[F.avg(F.col("x")[i]) for i in range(dims)]).alias("c")), "centres")
+    gap = _squared_distance(F.col("x"), F.col("c"))
+    spread = points.join(centres, ["labeling", "label"]).groupBy("labeling", "label", "n", "c").agg(
+        F.sum(gap).alias("w"), F.avg(F.sqrt(gap)).alias("s")).orderBy("labeling", "label").collect()
+    found = {}
+    for m, name in enumerate(labels):
+        own = [r for r in spread if r["labeling"] == m]
+        c, n = np.array([r["c"] for r in own]), np.array([r["n"] for r in own], float)
+        s, within = np.array([r["s"] for r in own]), sum(r["w"] for r in own)
+        between = (n * ((c - (n @ c) / n.sum()) ** 2).sum(1)).sum()
+        apart = np.sqrt(((c[:, None, :] - c[None, :, :]) ** 2).sum(-1))
+        np.fill_diagonal(apart, np.inf)
+        k = len(own)
+        found[name] = {
+            "calinski_harabasz": float((between / (k - 1)) / (within / (n.sum() - k))) if k > 1 and within > 0 else None,
+            "davies_bouldin": float(((s[:, None] + s[None, :]) / apart).max(1).mean()) if k > 1 else None}
+    return found
 
 
 def silhouette_sq(df: DataFrame, features: str = "features", label: str = "label") -> float:

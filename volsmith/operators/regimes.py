@@ -5,18 +5,20 @@ from __future__ import annotations
 import math
 from collections.abc import Sequence
 from dataclasses import dataclass
+from functools import reduce
 from typing import Any
 
 import numpy as np
-from pyspark.ml.clustering import KMeans, KMeansModel
+from pyspark.ml.clustering import KMeans
 from pyspark.ml.feature import PCA
 from pyspark.ml.functions import array_to_vector
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from volsmith.operators.chunks import positions
-from volsmith.operators.indices import (
-    adjusted_rand, calinski_harabasz, davies_bouldin, silhouette,
+from volsmith.operators.indices import dispersion_indices, silhouettes
+from volsmith.operators.lloyd import (
+    Fit, Start, agreements, best_fits, fit_many, rand_index, with_labels,
 )
 from volsmith.operators.quantiles import quantile_nearest
 from volsmith.session import fit_side_by_side, stage
@@ -37,25 +39,6 @@ def drop_incomplete(df: DataFrame, columns: Sequence[str]) -> DataFrame:
     return df.dropna(how="any", subset=list(columns))
 
 
-def fit_kmeans(
-    vectors: DataFrame, k: int, n_init: int = 10, seed: int = 42, weight: str | None = None,
-    init: str = "k-means||",
-) -> KMeansModel:
-    """The k-means model of least inertia among ``n_init`` seeded starts.
-
-    A start ends once the squared moves of all centres sum to less than 1e-4 of the variance of
-    the standardised inputs; Spark tests each centre's distance, hence the root.
-    """
-
-    def fit(start: int) -> KMeansModel:
-        estimator = KMeans(featuresCol=VECTOR, k=k, seed=seed + start, initMode=init, maxIter=300,
-                           tol=math.sqrt(1e-4 / k))
-        return (estimator.setWeightCol(weight) if weight else estimator).fit(vectors)
-
-    models = fit_side_by_side(vectors.sparkSession, fit, range(n_init))
-    return min(models, key=lambda m: m.summary.trainingCost)
-
-
 def _relabel(raw: Column, order: Sequence[Any]) -> Column:
     """Cluster ids replaced by their place in ``order``."""
     pairs = [F.lit(v) for place, old in enumerate(order) for v in (old, place)]
@@ -64,34 +47,45 @@ def _relabel(raw: Column, order: Sequence[Any]) -> Column:
 
 @dataclass
 class Regimes:
-    """Labelled rows, the model behind them and its inertia."""
+    """Labelled rows, the centres behind them (in order of the labels) and the inertia."""
 
     labelled: DataFrame
-    model: KMeansModel
+    centres: np.ndarray
     inertia: float
 
 
+def cluster_points(df: DataFrame, columns: Sequence[str]) -> DataFrame:
+    """Staged rows with every feature present, ``x`` (the features) and ``place``."""
+    complete = drop_incomplete(df, columns)
+    packed = F.array(*[F.col(c).cast("double") for c in columns])
+    return stage(complete.withColumn("x", packed), "points").withColumn("place", F.monotonically_increasing_id())
+
+
+def best_kmeans(points: DataFrame, ks: Sequence[int], n_init: int = 10, seed: int = 42) -> list[Fit]:
+    """For each k the fit of least inertia among ``n_init`` seeded starts, all fitted together."""
+    starts = [Start(k, seed + i) for k in ks for i in range(n_init)]
+    fits = fit_many(points, starts)
+    return best_fits(fits, [range(j * n_init, (j + 1) * n_init) for j in range(len(ks))])
+
+
+def _ordered(fit: Fit, labelled: DataFrame, order_by: str) -> list[int]:
+    """Cluster ids by ascending mean of ``order_by``; clusters without rows last."""
+    means = {r["l"]: r["m"] for r in labelled.groupBy(F.col("labels")[0].alias("l")).agg(F.avg(order_by).alias("m")).collect()}
+    return sorted(range(len(fit.centres)), key=lambda c: (c not in means, means.get(c, 0.0), c))
+
+
 def kmeans(
     df: DataFrame, columns: Sequence[str], k: int, n_init: int = 10, seed: int = 42,
     order_by: str | None = None, label: str = "regime",
 ) -> Regimes:
     """Clusters of the (standardised) columns, numbered by ascending mean of ``order_by`` (M1)."""
-    vectors = _vectors(drop_incomplete(df, columns), columns).persist()
-    try:
-        model = fit_kmeans(vectors, k, n_init, seed)
-        means = (
-            model.transform(vectors).groupBy("prediction")
-            .agg(F.avg(order_by or columns[0]).alias("m")).orderBy("m", "prediction").collect()
-        )
-        labelled = stage(
-            model.transform(vectors)
-            .withColumn(label, _relabel(F.col("prediction"), [r["prediction"] for r in means]))
-            .drop(VECTOR, "prediction"),
-            "regimes",
-        )
-        return Regimes(labelled, model, float(model.summary.trainingCost))
-    finally:
-        vectors.unpersist()
+    points = cluster_points(df, columns)
+    fit = best_kmeans(points, [k], n_init, seed)[0]
+    raw = stage(with_labels(points, [fit.centres]), "labelled")
+    order = _ordered(fit, raw, order_by or columns[0])
+    own = [c for c in df.columns if c != label]
+    labelled = raw.select(*own, _relabel(F.col("labels")[0], order).alias(label))
+    return Regimes(stage(labelled, "regimes"), fit.centres[order], fit.inertia)
 
 
 def assign_to_centres(
@@ -113,33 +107,34 @@ def k_sweep(
     df: DataFrame, columns: Sequence[str], ks: Sequence[int] = (2, 3, 4, 5), n_init: int = 10,
     seed: int = 42, stability_runs: int = 0, keys: Sequence[str] = KEYS,
 ) -> DataFrame:
-    """Inertia, the three indices and, with runs, bootstrap stability for each k (M2)."""
-    spark = df.sparkSession
-    complete = drop_incomplete(df, columns)
-    vectors = _vectors(complete, columns).persist()
-    indexed = bootstrap_index(complete, keys) if stability_runs else None
+    """Inertia, the three indices and, with runs, bootstrap stability for each k (M2).
+
+    All fits, of every k, start and bootstrap sample, advance together, one read an iteration; the
+    labelings share one pass for silhouettes and two for the other indices.
+    """
+    spark, ks = df.sparkSession, list(ks)
+    if stability_runs:
+        points, pairs = _bootstrap_points(df, columns, stability_runs, seed, keys), stability_runs
+    else:
+        points, pairs = cluster_points(df, columns), 0
+    starts = [Start(k, seed + i) for k in ks for i in range(n_init)]
+    starts += [s for k in ks for run in range(pairs) for s in _pair_starts(k, run, n_init, seed)]
+    fits = fit_many(points, starts)
+    best = best_fits(fits, [range(at, at + n_init) for at in range(0, len(starts), n_init)])
+    labelled = stage(with_labels(points, [f.centres for f in best]), "labelled-points")
+    n = len(ks)
+    compared = [(n + 2 * (j * pairs + run), n + 2 * (j * pairs + run) + 1, run) for j in range(n) for run in range(pairs)]
+    agreed = agreements(labelled, compared) if pairs else []
+    names = [f"k{k}" for k in ks]
+    scored = labelled.select(F.col("x").alias("features"), *[F.col("labels")[j].alias(name) for j, name in enumerate(names)])
+    shape = {r["labeling"]: r["silhouette"] for r in silhouettes(scored, names).collect()}
+    spread = dispersion_indices(scored, names)
     rows = []
-    try:
-        for k in ks:
-            model = fit_kmeans(vectors, k, n_init, seed)
-            points = model.transform(vectors).select(
-                F.array(*[F.col(c).cast("double") for c in columns]).alias("features"),
-                F.col("prediction").alias("label"),
-            )
-            stability = (
-                stability_bootstrap(complete, columns, k, stability_runs, n_init, seed, keys, indexed)
-                .agg(F.avg("adjusted_rand")).first()[0] if stability_runs else None
-            )
-            points = stage(points, "labelled-points")
-            dims = len(columns)
-            rows.append((k, float(model.summary.trainingCost), float(silhouette(points).first()[0]),
-                         calinski_harabasz(points, dims=dims).first()[0],
-                         davies_bouldin(points, dims=dims).first()[0], stability))
-    finally:
-        vectors.unpersist()
-    return spark.createDataFrame(
-        rows, SCORES
-    )
+    for j, (k, name) in enumerate(zip(ks, names, strict=True)):
+        stability = float(np.mean(agreed[j * pairs:(j + 1) * pairs])) if pairs else None
+        rows.append((k, best[j].inertia, float(shape[name]), spread[name]["calinski_harabasz"],
+                     spread[name]["davies_bouldin"], stability))
+    return spark.createDataFrame(rows, SCORES)
 
 
 @dataclass
@@ -277,18 +272,22 @@ def ward_exact_tree(df: DataFrame, columns: Sequence[str], most: int = 2048) ->
     return WardTree(stage(complete.join(leaves, list(columns)), "ward-leaves"), len(points), merges)
 
 
+def ward_labels(tree: WardTree, k: int, order_by: str) -> Column:
+    """Label of a row of ``tree.leaves`` in the tree cut at ``k``, by ascending mean of ``order_by``."""
+    clusters = _cut(tree.merges, tree.n_leaves, k)
+    raw = F.array(*[F.lit(c) for c in clusters])[F.col("__leaf")]
+    means = tree.leaves.groupBy(raw.alias("__raw")).agg(F.avg(order_by).alias("m")).orderBy("m", "__raw").collect()
+    return _relabel(raw, [r["__raw"] for r in means])
+
+
 def ward_cut(tree: WardTree, k: int, order_by: str, label: str = "regime") -> WardClusters:
     """The tree cut at ``k`` clusters, numbered by ascending mean of ``order_by``."""
-    clusters = _cut(tree.merges, tree.n_leaves, k)
-    raw = tree.leaves.withColumn("__raw", F.array(*[F.lit(c) for c in clusters])[F.col("__leaf")])
-    means = raw.groupBy("__raw").agg(F.avg(order_by).alias("m")).orderBy("m", "__raw").collect()
     own = [c for c in tree.leaves.columns if c not in ("__leaf", label)]
-    labelled = raw.withColumn(label, _relabel(F.col("__raw"), [r["__raw"] for r in means]))
     table = tree.leaves.sparkSession.createDataFrame(
         [(step, int(i), int(j), float(h), int(n)) for step, (i, j, h, n) in enumerate(tree.merges)],
         "step int, left int, right int, height double, size bigint",
     )
-    return WardClusters(labelled.select(*own, label), table)
+    return WardClusters(tree.leaves.select(*own, ward_labels(tree, k, order_by).alias(label)), table)
 
 
 def ward_clusters(
@@ -304,15 +303,6 @@ def truncated_tree(merges: DataFrame, leaves: int = 12) -> DataFrame:
     return merges.orderBy(F.desc("step")).limit(leaves - 1)
 
 
-def _labels(df: DataFrame, columns: Sequence[str], k: int, method: str, n_init: int, seed: int,
-            name: str) -> DataFrame:
-    if method == "kmeans":
-        return kmeans(df, columns, k, n_init, seed, label=name).labelled
-    if method == "ward":
-        return ward_clusters(df, columns, k, seed=seed, label=name).labelled
-    raise ValueError("method is 'kmeans' or 'ward'")
-
-
 def sample_exactly(df: DataFrame, keys: Sequence[str], share: float, seed: int) -> DataFrame:
     """A seeded sample of ``floor(n * share)`` rows without replacement.
 
@@ -334,19 +324,68 @@ def sample_exactly(df: DataFrame, keys: Sequence[str], share: float, seed: int)
     return drawn.drop("__u")
 
 
+def _drawn(complete: DataFrame, runs: int, share: float, seed: int, keys: Sequence[str]) -> DataFrame:
+    """``keys`` and ``weights``: for each run 1 if the row is in its sample, else 0."""
+    parts = [sample_exactly(complete, keys, share, seed + run).select(*keys, F.lit(run).alias("run")) for run in range(runs)]
+    marks = [F.max(F.when(F.col("run") == run, 1.0).otherwise(0.0)) for run in range(runs)]
+    drawn = reduce(DataFrame.unionByName, parts).groupBy(*keys).agg(F.array(*marks).alias("weights"))
+    nothing = F.array(*[F.lit(0.0)] * runs)
+    return complete.select(*keys).join(drawn, list(keys), "left").withColumn("weights", F.coalesce("weights", nothing))
+
+
 def stability_subsample(
     df: DataFrame, columns: Sequence[str], k: int, runs: int = 5, share: float = 0.8,
     method: str = "kmeans", n_init: int = 10, seed: int = 42, keys: Sequence[str] = KEYS,
 ) -> DataFrame:
-    """Agreement of the labels of all rows with those of a refit on a sample, run by run (M8)."""
-    complete = drop_incomplete(df, columns)
-    full = _labels(complete, columns, k, method, n_init, seed, "__full")
-    scores = []
-    for run in range(runs):
-        part = sample_exactly(full, keys, share, seed + run)
-        again = _labels(part, columns, k, method, n_init, seed + run, "__again")
-        scores.append((run, float(adjusted_rand(again, "__full", "__again").first()[0])))
-    return df.sparkSession.createDataFrame(scores, "run int, adjusted_rand double")
+    """Agreement of the labels of all rows with those of a refit on a sample, run by run (M8).
+
+    Samples are weights of 0 and 1, so the k-means fits of all runs advance together.
+    """
+    spark = df.sparkSession
+    if method == "ward":
+        found = ward_stability(df, columns, [k], runs, share, seed=seed, keys=keys)
+        return spark.createDataFrame([(run, own[0]) for run, own in enumerate(found)], "run int, adjusted_rand double")
+    if method != "kmeans":
+        raise ValueError("method is 'kmeans' or 'ward'")
+    complete = stage(drop_incomplete(df, columns), "complete")
+    weighted = complete.join(_drawn(complete, runs, share, seed, keys), list(keys))
+    points = cluster_points(weighted, columns)
+    starts = [Start(k, seed + i) for i in range(n_init)]
+    starts += [Start(k, seed + run + i, run) for run in range(runs) for i in range(n_init)]
+    fits = best_fits(fit_many(points, starts), [range(j * n_init, (j + 1) * n_init) for j in range(runs + 1)])
+    labelled = with_labels(points, [f.centres for f in fits])
+    found = agreements(labelled, [(0, 1 + run, run) for run in range(runs)])
+    return spark.createDataFrame(list(enumerate(found)), "run int, adjusted_rand double")
+
+
+def ward_stability(
+    df: DataFrame, columns: Sequence[str], ks: Sequence[int], runs: int = 5, share: float = 0.8, micro: int = 256,
+    seed: int = 42, keys: Sequence[str] = KEYS, full: WardTree | None = None,
+) -> list[list[float]]:
+    """For each run the agreement, for every k, of the Ward clusters of all rows with those of a sample.
+
+    One tree a run serves all k: rows are counted by their leaves in both trees, and the trees are cut in
+    the counts. The runs' trees are built side by side.
+    """
+    spark = df.sparkSession
+    complete = stage(drop_incomplete(df, columns), "complete")
+    full = full or ward_tree(complete, columns, micro, seed)
+    leaves = full.leaves.select(*keys, F.col("__leaf").alias("__full"))
+
+    def agree(run: int) -> list[float]:
+        part = ward_tree(sample_exactly(complete, keys, share, seed + run), columns, micro, seed + run)
+        counts = part.leaves.join(leaves, list(keys)).groupBy("__full", "__leaf").count().collect()
+        found = []
+        for k in ks:
+            a, b = _cut(full.merges, full.n_leaves, k), _cut(part.merges, part.n_leaves, k)
+            cells: dict[tuple[int, int], float] = {}
+            for row in counts:
+                cell = a[row["__full"]], b[row["__leaf"]]
+                cells[cell] = cells.get(cell, 0.0) + row["count"]
+            found.append(rand_index([(*cell, n) for cell, n in cells.items()]))
+        return found
+
+    return fit_side_by_side(spark, agree, range(runs))
 
 
 def bootstrap_index(df: DataFrame, keys: Sequence[str]) -> DataFrame:
@@ -366,25 +405,35 @@ def bootstrap_counts(indexed: DataFrame, seed: int) -> DataFrame:
     return indexed.join(draws, "__i").drop("__i")
 
 
+def _bootstrap_points(df: DataFrame, columns: Sequence[str], runs: int, seed: int, keys: Sequence[str]) -> DataFrame:
+    """``cluster_points`` with ``weights``: how often each run's sample, as large as the table, draws the row."""
+    indexed = bootstrap_index(drop_incomplete(df, columns), keys)
+    n = indexed.count()
+    draws = [F.pmod(F.xxhash64("id", F.lit(seed + run)), F.lit(n)) for run in range(runs)]
+    drawn = indexed.sparkSession.range(n).select(F.posexplode(F.array(*draws)).alias("run", "__i")).groupBy("__i").agg(
+        F.array(*[F.sum(F.when(F.col("run") == run, 1.0).otherwise(0.0)) for run in range(runs)]).alias("weights"))
+    nothing = F.array(*[F.lit(0.0)] * runs)
+    weighted = indexed.join(drawn, "__i", "left").withColumn("weights", F.coalesce("weights", nothing)).drop("__i")
+    return cluster_points(weighted, columns)
+
+
+def _pair_starts(k: int, run: int, n_init: int, seed: int) -> list[Start]:
+    """The starts of two independent fits on one sample."""
+    return [Start(k, seed + 1000 * run + first + i, run) for first in (1, 501) for i in range(n_init)]
+
+
 def stability_bootstrap(
     df: DataFrame, columns: Sequence[str], k: int, runs: int = 5, n_init: int = 10, seed: int = 42,
-    keys: Sequence[str] = KEYS, indexed: DataFrame | None = None,
+    keys: Sequence[str] = KEYS,
 ) -> DataFrame:
     """Agreement of two independently started k-means fits on one bootstrap sample.
 
-    Repeated rows are weights, so a sample is never larger than the data. ``indexed`` is the
-    ``bootstrap_index`` of the complete rows, where several calls share it.
+    Repeated rows are weights, so a sample is never larger than the data, and the fits of all runs advance
+    together.
     """
-    if indexed is None:
-        indexed = bootstrap_index(drop_incomplete(df, columns), keys)
-    scores = []
-    for run in range(runs):
-        vectors = _vectors(bootstrap_counts(indexed, seed + run), columns).persist()
-        first = fit_kmeans(vectors, k, n_init, seed + 1000 * run + 1, "__weight")
-        second = fit_kmeans(vectors, k, n_init, seed + 1000 * run + 501, "__weight")
-        both = second.setPredictionCol("__b").transform(
-            first.setPredictionCol("__a").transform(vectors)
-        )
-        scores.append((run, float(adjusted_rand(both, "__a", "__b", "__weight").first()[0])))
-        vectors.unpersist()
-    return df.sparkSession.createDataFrame(scores, "run int, adjusted_rand double")
+    points = _bootstrap_points(df, columns, runs, seed, keys)
+    starts = [s for run in range(runs) for s in _pair_starts(k, run, n_init, seed)]
+    fits = best_fits(fit_many(points, starts), [range(j * n_init, (j + 1) * n_init) for j in range(2 * runs)])
+    labelled = with_labels(points, [f.centres for f in fits])
+    found = agreements(labelled, [(2 * run, 2 * run + 1, run) for run in range(runs)])
+    return df.sparkSession.createDataFrame(list(enumerate(found)), "run int, adjusted_rand double")

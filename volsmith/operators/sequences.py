@@ -72,6 +72,35 @@ def build_sequences(
     return built.select(by, F.col(order).alias("end_date"), "x", "y")
 
 
+def build_window_sets(
+    df: DataFrame, features: Sequence[str], target: str, windows: Sequence[int], H: int,
+    by: str = "ticker", order: str = "date", chunk_rows: int | None = None,
+) -> DataFrame:
+    """``build_sequences`` for several window lengths at once, told apart by ``w``.
+
+    The longest window is collected once; a shorter one is its end, and is complete by its own count
+    of incomplete rows. Plain windows per ticker by default, as a ticker has one row a day.
+    """
+    row = F.array(*[F.col(c).cast("double") for c in features])
+    incomplete = F.greatest(*[F.col(c).isNull().cast("int") for c in features], F.lit(0))
+    longest = max(windows)
+
+    def columns(w) -> dict[str, Column]:
+        whole = {f"__whole{n}": (F.count(F.lit(1)).over(w.rowsBetween(-(n - 1), 0)) == n)
+                 & (F.sum("__incomplete").over(w.rowsBetween(-(n - 1), 0)) == 0) for n in windows}
+        return {**whole, "__x": F.collect_list("__row").over(w.rowsBetween(-(longest - 1), 0)),
+                "y": F.collect_list(F.col(target).cast("double")).over(w.rowsBetween(1, H))}
+
+    narrow = df.select(by, order, row.alias("__row"), incomplete.alias("__incomplete"), F.col(target))
+    some = F.greatest(*[F.col(f"__whole{n}") for n in windows], F.lit(False)) & (F.size("y") == H)
+    built = window_columns(
+        narrow, [by], [order], columns, before=longest - 1, after=H, chunk_rows=chunk_rows,
+        keep=lambda d: d.where(some))
+    held = F.filter(F.array(*[F.when(F.col(f"__whole{n}"), F.lit(n)) for n in windows]), lambda n: n.isNotNull())
+    return built.select(by, F.col(order).alias("end_date"), F.explode(held).alias("w"), "__x", "y").select(
+        by, "end_date", "w", F.slice("__x", F.size("__x") - F.col("w") + 1, F.col("w")).alias("x"), "y")
+
+
 def ewma_forecast(sequences: DataFrame, alpha: float, repeat: int | None = None) -> DataFrame:
     """``yhat``: the weighted mean of the first feature (Q2), or ``repeat`` copies of it."""
     value = ewma(leading_feature("x"), alpha)

@@ -10,14 +10,14 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from volsmith.operators.clean import select_features
-from volsmith.operators.indices import calinski_harabasz, davies_bouldin, silhouette
+from volsmith.operators.indices import dispersion_indices, silhouettes
 from volsmith.operators.metrics import setup_means
 from volsmith.operators.regimes import (
-    KEYS, SCORES, Components, bootstrap_index, drop_incomplete, k_sweep, kmeans, pca_by_variance,
-    stability_bootstrap, stability_subsample, ward_cut, ward_tree,
+    KEYS, SCORES, Components, drop_incomplete, k_sweep, kmeans, pca_by_variance,
+    stability_bootstrap, ward_labels, ward_stability, ward_tree,
 )
 from volsmith.operators.scaling import standardise
-from volsmith.session import stage
+from volsmith.session import fit_side_by_side, stage
 
 
 @dataclass
@@ -30,16 +30,13 @@ class RegimeRun:
     n_incomplete: int
 
 
-def _indices(labelled: DataFrame, columns: Sequence[str]) -> dict[str, float]:
-    points = labelled.select(
-        F.array(*[F.col(c) for c in columns]).alias("features"), F.col("regime").alias("label")
-    )
-    dims = len(columns)
-    return {
-        "silhouette": silhouette(points).first()[0],
-        "calinski_harabasz": calinski_harabasz(points, dims=dims).first()[0],
-        "davies_bouldin": davies_bouldin(points, dims=dims).first()[0],
-    }
+def _indices(labelled: DataFrame, columns: Sequence[str], labels: Sequence[str]) -> dict[str, dict[str, float]]:
+    """The three indices of several labelings, which share all passes."""
+    points = labelled.select(F.array(*[F.col(c) for c in columns]).alias("features"), *labels)
+    found = dispersion_indices(points, labels)
+    for row in silhouettes(points, labels).collect():
+        found[row["labeling"]]["silhouette"] = row["silhouette"]
+    return found
 
 
 def regime_discovery(
@@ -67,49 +64,48 @@ def regime_discovery(
         sweep = k_sweep(scored, used, ks, n_init, seed, runs if stability else 0)
         return RegimeRun(None, components, sweep, n_incomplete)
 
-    rows, labels = [], None
+    if method == "kmeans":
+        fitted = kmeans(scored, used, best_k, n_init, seed, order_by)
+        quality = _indices(fitted.labelled, used, ["regime"])["regime"]
+        agreement = stability_bootstrap(scored, used, best_k, runs, n_init, seed).agg(
+            F.avg("adjusted_rand")).first()[0] if stability else None
+        scores = [_score(best_k, fitted.inertia, quality, agreement)]
+        labels = complete.join(fitted.labelled.select(*KEYS, "regime"), list(KEYS))
+        return RegimeRun(labels, components, spark.createDataFrame(scores, SCORES), n_incomplete)
+
+    # One tree, cut at every k; the labelings share the passes of the indices.
     ks = [best_k] if best_k else list(ks)
-    # The tree and the numbers that samples draw from are the same for every k.
-    tree = ward_tree(scored, used, seed=seed) if method == "ward" else None
-    indexed = bootstrap_index(scored, KEYS) if method == "kmeans" and stability else None
-    for k in ks:
-        inertia = agreement = None
-        if method == "kmeans":
-            fitted = kmeans(scored, used, k, n_init, seed, order_by)
-            clustered, inertia = fitted.labelled, fitted.inertia
-            if stability:
-                agreement = stability_bootstrap(scored, used, k, runs, n_init, seed, indexed=indexed).agg(
-                    F.avg("adjusted_rand")).first()[0]
-        else:
-            clustered = stage(ward_cut(tree, k, order_by).labelled, "ward")
-            if stability:
-                agreement = stability_subsample(
-                    scored, used, k, runs, method="ward", seed=seed
-                ).agg(F.avg("adjusted_rand")).first()[0]
-        quality = _indices(clustered, used)
-        rows.append((k, inertia, quality["silhouette"], quality["calinski_harabasz"],
-                     quality["davies_bouldin"], agreement))
-        if best_k:
-            labels = complete.join(clustered.select(*KEYS, "regime"), list(KEYS))
-    return RegimeRun(labels, components, spark.createDataFrame(rows, SCORES), n_incomplete)
+    tree = ward_tree(scored, used, seed=seed)
+    names = [f"ward{k}" for k in ks]
+    cuts = {name: ward_labels(tree, k, order_by) for name, k in zip(names, ks, strict=True)}
+    clustered = stage(tree.leaves.withColumns(cuts), "ward")
+    found = _indices(clustered, used, names)
+    agreed = ward_stability(scored, used, ks, runs, seed=seed, full=tree) if stability else []
+    means = [sum(run[j] for run in agreed) / len(agreed) if agreed else None for j in range(len(ks))]
+    scores = [_score(k, None, found[name], mean) for k, name, mean in zip(ks, names, means, strict=True)]
+    labels = complete.join(clustered.select(*KEYS, F.col(names[0]).alias("regime")), list(KEYS)) if best_k else None
+    return RegimeRun(labels, components, spark.createDataFrame(scores, SCORES), n_incomplete)
+
+
+def _score(k: int, inertia: float | None, quality: dict[str, float], stability: float | None) -> tuple:
+    return k, inertia, quality["silhouette"], quality["calinski_harabasz"], quality["davies_bouldin"], stability
 
 
 def setup_sweep(
     daily: DataFrame, tickers: Iterable[str], methods: Sequence[str] = ("kmeans", "ward"),
     shares: Sequence[float] = (0.0, 0.3, 0.5, 0.7, 0.9), **settings,
 ) -> tuple[DataFrame, DataFrame]:
-    """Score rows of every (ticker, method, share) and their means per set-up."""
-    parts = []
-    for ticker in tickers:
-        own = daily.where(F.col("ticker") == ticker)
-        for method in methods:
-            for share in shares:
-                run = regime_discovery(own, method, share, **settings)
-                parts.append(run.scores.select(
-                    F.lit(ticker).alias("ticker"), F.lit(method).alias("method"),
-                    F.lit(float(share)).alias("pca"), "k", "silhouette", "stability",
-                ))
-    scores = reduce(lambda a, b: a.unionByName(b), parts)
+    """Score rows of every (ticker, method, share) and their means per set-up; set-ups run side by side."""
+    spark = daily.sparkSession
+    tasks = [(ticker, method, share) for ticker in tickers for method in methods for share in shares]
+
+    def scored(task: tuple[str, str, float]) -> DataFrame:
+        ticker, method, share = task
+        run = regime_discovery(daily.where(F.col("ticker") == ticker), method, share, **settings)
+        return run.scores.select(F.lit(ticker).alias("ticker"), F.lit(method).alias("method"),
+                                 F.lit(float(share)).alias("pca"), "k", "silhouette", "stability")
+
+    scores = reduce(DataFrame.unionByName, fit_side_by_side(spark, scored, tasks))
     lists = scores.groupBy("ticker", "method", "pca").agg(
         F.collect_list("silhouette").alias("silhouettes"),
         F.collect_list("stability").alias("stabilities"),

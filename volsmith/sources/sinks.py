@@ -3,13 +3,17 @@
 from __future__ import annotations
 
 from collections.abc import Iterable
+from dataclasses import dataclass
+from importlib import import_module
 from typing import Any
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from volsmith.config import ROW_GROUP_ROWS, PipelineConfig
 
+MANIFEST = "module string, kind string, predictions bigint"
 METADATA_SCHEMA = """
     ticker string,
     processing_config struct<
@@ -140,3 +144,38 @@ def run_summary(requested: DataFrame, metadata: DataFrame) -> DataFrame:
 def save_model(model: Any, path: str) -> None:
     """A fitted Spark ML model (K6)."""
     model.write().overwrite().save(path)
+
+
+@dataclass
+class SavedRun:
+    """A model read back and the predictions saved with it."""
+
+    model: Any
+    predictions: DataFrame
+
+
+def save_run(model: Any, predictions: DataFrame, path: str) -> None:
+    """A fitted Spark ML model, its predictions and, last of all, a manifest (K6).
+
+    A folder without a manifest is a run that did not finish; the manifest names the model's class.
+    """
+    spark = predictions.sparkSession
+    save_model(model, f"{path}/model")
+    predictions.write.mode("overwrite").parquet(f"{path}/predictions")
+    kind = type(model)
+    rows = spark.read.parquet(f"{path}/predictions").count()
+    spark.createDataFrame([(kind.__module__, kind.__name__, rows)], MANIFEST).coalesce(1).write.mode("overwrite").json(
+        f"{path}/manifest")
+
+
+def load_run(spark: SparkSession, path: str) -> SavedRun:
+    """What ``save_run`` wrote; an error if the manifest is missing or counts other rows."""
+    try:
+        manifest = spark.read.schema(MANIFEST).json(f"{path}/manifest").first()
+    except AnalysisException as error:
+        raise FileNotFoundError(f"no finished run in {path}") from error
+    predictions = spark.read.parquet(f"{path}/predictions")
+    if manifest is None or predictions.count() != manifest["predictions"]:
+        raise ValueError(f"the run in {path} is not complete")
+    kind = getattr(import_module(manifest["module"]), manifest["kind"])
+    return SavedRun(kind.load(f"{path}/model"), predictions)
