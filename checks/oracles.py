@@ -599,3 +599,24 @@ where pos >= {w} and whole = {w} and y1 is not null and y2 is not null and y3 is
 add("window_sets", f"""
 select ticker, end_date, w, steps, {r('first_iv')}, {r('last_skew')}, {r('last_target')}
 from ({_WINDOW_SET.format(w=5)} union all {_WINDOW_SET.format(w=20)})""", "daily")
+add("lead_target_by_day", f"""
+with days as (select secid, date, avg(impl_volatility) as v from quotes group by 1, 2),
+known as (select * from days where v is not null),
+ends as (select secid, max(date) as final from days group by 1),
+ahead as (select d.secid, d.date, k.date as seen, k.v, final from days d join ends using (secid)
+    asof left join known k on d.secid = k.secid and d.date + 30 >= k.date)
+select symbol, q.secid, q.date, {r('v', 'iv_30d')} from quotes q join ahead a on q.secid = a.secid and q.date = a.date
+where seen > q.date and final >= q.date + 30""", "quotes")
+
+
+def _as_of(lag: int) -> str:
+    return f"asof left join priced p{lag} on j.secid = p{lag}.secid and j.date - {lag} >= p{lag}.date"
+
+
+add("price_differences_by_day", f"""
+with joined as (select q.*, s.prc from quotes q left join stock s using (ticker, date)),
+priced as (select secid, date, max(prc) as v from joined where prc is not null group by 1, 2),
+lagged as (select symbol, j.secid, j.date, {', '.join(f'j.prc - p{d}.v as price_diff_{d}d' for d in LAGS)}
+    from joined j {' '.join(map(_as_of, LAGS))})
+select symbol, secid, date, {rs(*[f'price_diff_{d}d' for d in LAGS])} from lagged
+where price_diff_233d is not null""", "quotes", "stock")

@@ -348,6 +348,19 @@ def _(spark, sf):
         "symbol", "secid", "date", *[c for c in found.columns if c.startswith("price_diff_")]))
 
 
+@register("lead_target_by_day")
+def _(spark, sf):
+    return rounded(lags.lead_target(view(spark, sf, "quotes"), unit="day").select("symbol", "secid", "date", "iv_30d"))
+
+
+@register("price_differences_by_day")
+def _(spark, sf):
+    joined = joins.join_stock(view(spark, sf, "quotes"), view(spark, sf, "stock"))
+    found = lags.price_differences(joined, unit="day")
+    return rounded(found.select(
+        "symbol", "secid", "date", *[c for c in found.columns if c.startswith("price_diff_")]))
+
+
 def _extract(spark: SparkSession, sf: str, root: str | None = None) -> extract.ExtractRun:
     prices = view(spark, sf, "stock").withColumnRenamed("ticker", "cusip")
     names = prices.select("cusip", F.col("cusip").alias("ticker")).distinct()

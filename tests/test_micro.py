@@ -265,3 +265,30 @@ def test_metadata_round_trip(spark, tmp_path):
     asked = spark.createDataFrame([("A",), ("Z",)], "ticker string")
     status = {r["ticker"]: r["status"] for r in sinks.run_summary(asked, meta).collect()}
     assert status == {"A": "success", "Z": "failed"}
+
+
+def test_lags_by_day(spark):
+    rows = [(1.0, "2024-01-01", 10.0, 0.1), (1.0, "2024-01-01", 10.0, 0.3), (1.0, "2024-01-02", None, 0.5),
+            (1.0, "2024-01-04", 13.0, None), (1.0, "2024-01-05", 15.0, 0.7), (2.0, "2024-01-05", 1.0, 0.9)]
+    df = spark.createDataFrame(rows, "secid double, date string, prc double, impl_volatility double").withColumn(
+        "date", F.to_date("date")).withColumn("strike_price", F.lit(1.0)).withColumn("symbol", F.lit("s"))
+    found = {(r["secid"], str(r["date"])): r for r in lags.price_differences(df, 3, unit="day", require=False).collect()}
+    last = found[1.0, "2024-01-05"]
+    assert (last["price_diff_1d"], last["price_diff_2d"], last["price_diff_3d"]) == (2.0, 5.0, 5.0)
+    assert found[1.0, "2024-01-02"]["price_diff_1d"] is None and found[2.0, "2024-01-05"]["price_diff_1d"] is None
+    assert lags.price_differences(df, 3, unit="day").count() == 2  # the days of 4 and 5 January
+    ahead = {(r["secid"], str(r["date"])): r["iv_30d"] for r in lags.lead_target(df, 3, unit="day", require=False).collect()}
+    assert ahead[1.0, "2024-01-01"] == 0.5 and ahead[1.0, "2024-01-02"] == 0.7
+    assert ahead[1.0, "2024-01-04"] is None and ahead[2.0, "2024-01-05"] is None
+    with pytest.raises(ValueError):
+        lags.lead_target(df, unit="week")
+
+
+def test_entry_survives_a_missing_library():
+    import subprocess
+    import sys
+    from pathlib import Path
+
+    root = Path(__file__).resolve().parents[1]
+    code = "import sys; sys.modules['zstandard'] = None; import __spark_entry__ as e; assert 'ewma' in e.queries() and e.oracle_sql()"
+    subprocess.run([sys.executable, "-c", code], cwd=root, check=True, timeout=120)
