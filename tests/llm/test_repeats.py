@@ -3,14 +3,15 @@
 from __future__ import annotations
 
 import random
+import re
+from collections import Counter, defaultdict
 
 import regex
-import xxhash
 from pyspark.sql import functions as F
 
 from tests.llm.test_near import edited, words
 from tests.llm.test_rules import DOCS, LONG, ODD
-from volsmith.llm import lines, near_dedup, paragraphs, shingles
+from volsmith.llm import lines, paragraphs
 from volsmith.llm.queries import QUERIES
 
 
@@ -23,6 +24,21 @@ def plain_distance(a, b):
     return row[-1]
 
 
+def bounded_distance(a, b, most):
+    """The edit distance of two texts, or more than ``most``; only places that near distances reach are looked at."""
+    if a == b:
+        return 0
+    far, row = most + 1, {j: j for j in range(min(most, len(b)) + 1)}
+    for i, x in enumerate(a, 1):
+        now = {}
+        for j in range(max(0, i - most), min(len(b), i + most) + 1):
+            now[j] = min(row.get(j, far) + 1, now.get(j - 1, far) + 1, row.get(j - 1, far) + (x != b[j - 1])) if j else i
+        row = now
+        if min(row.values()) > most:
+            return far
+    return row.get(len(b), far)
+
+
 def groups_of(items, alike):
     """{item number: smallest item number of its component}, by all pairs."""
     root = list(range(len(items)))
@@ -41,40 +57,96 @@ def groups_of(items, alike):
 
 
 def test_bands():
-    bands, rows = paragraphs.tune_bands(0.8)
-    assert bands * rows <= paragraphs.HASHES and 1 - (1 - 0.8**rows) ** bands >= paragraphs.RECALL
-    assert paragraphs.tune_bands(0.99)[1] > rows
+    for threshold, count in ((0.8, 1), (0.8, 2), (0.95, 4)):
+        bands = paragraphs.tune_bands(threshold, count)
+        assert 1 - (1 - threshold**count) ** bands >= paragraphs.RECALL > 1 - (1 - threshold**count) ** (bands - 1)
 
 
-def held_against_all_pairs(found, docs):
-    own = [(d, n, s, e, p) for d, t in sorted(docs) for n, s, e, p in paragraphs.paragraphs_of(t, paragraphs.MIN_WORDS)]
-    sets = list(shingles.shingle_sets([p for *_, p in own]))
-    roots = groups_of(sets, lambda a, b: near_dedup.linked(a, b, paragraphs.PERCENT, 0, 0))
-    expected = {(d, n, s, e, own[roots[i]][0], own[roots[i]][1], roots.count(roots[i]), i == roots[i])
-                for i, (d, n, s, e, _) in enumerate(own) if roots.count(roots[i]) > 1}
-    assert {tuple(r) for r in found} == expected and len(found) == len(expected)
-    return expected
+def placed(text):
+    """(word, start, end) of a text, A-Z in lower case."""
+    return [(re.sub("[A-Z]", lambda x: x.group().lower(), m.group()), m.start(), m.end())
+            for m in re.finditer("[^\x20\x09-\x0D]+", text or "")]
 
 
-def test_repeats_all_pairs(spark, tmp_path):
+def repeated_windows(docs, size):
+    """{doc: starts and ends of the runs of so many words that stand in another place too}, by whole texts."""
+    seen = defaultdict(list)
+    for d, t in docs:
+        own = placed(t)
+        for i in range(len(own) - size + 1):
+            seen[tuple(w for w, *_ in own[i:i + size])].append((d, own[i][1], own[i + size - 1][2]))
+    by_doc = defaultdict(list)
+    for places in seen.values():
+        if len({d for d, *_ in places}) > 1:
+            for d, start, end in places:
+                by_doc[d].append((start, end))
+    return by_doc
+
+
+def shingles_of(text):
+    words = [w for w, *_ in placed(text)]
+    return {tuple(words[i:i + 5]) for i in range(len(words) - 4)}
+
+
+def check_repeats(found, docs, least_recall=0.9):
+    """Passages of 50 words are found, all that is found repeats, texts without repeats are left alone."""
+    found, texts = [tuple(r) for r in found], dict(docs)
+    assert len(set(found)) == len(found)
+    spans, groups = defaultdict(list), defaultdict(list)
+    for d, n, start, end, first, first_n, size, kept in found:
+        spans[d].append((start, end))
+        groups[first, first_n].append((d, n, shingles_of(texts[d][start:end]), size, kept))
+    windows = repeated_windows(docs, 50)
+    hit = [any(start <= s and e <= end for s, e in spans[d]) for d, own in windows.items() for start, end in own]
+    assert hit and sum(hit) >= least_recall * len(hit)
+    for first, members in groups.items():
+        assert {m[3] for m in members} == {len(members)} and len(members) > 1
+        assert [m[:2] for m in members if m[4]] == [first] == [min(m[:2] for m in members)]
+        for d, n, own, *_ in members:
+            assert any(100 * len(own & o) >= paragraphs.PERCENT * len(own | o) for e, m, o, *_ in members if (e, m) != (d, n))
+    return sum(hit) / len(hit)
+
+
+def test_repeats_across_line_breaks(spark, tmp_path):
     rng = random.Random(11)
-    passages = [words(rng, n) for n in (30, 55, 80, 140)]
-    docs = []
-    for i in range(90):
-        lines = [words(rng, rng.randrange(3, 60)) for _ in range(rng.randrange(1, 4))]
-        for p in passages:
-            if rng.random() < 0.3:
-                lines.insert(rng.randrange(len(lines) + 1), edited(rng, p, rng.choice([0, 0, 1, 2])))
-        docs.append((i, "\n".join(" ".join(x) for x in lines)))
+    passages = [words(rng, n) for n in (52, 60, 80, 140)]
+    docs, holders = [], {}
+    for i in range(120):
+        body = words(rng, rng.randrange(0, 120))
+        if i % 3:
+            body[len(body) // 2:len(body) // 2] = passages[i % 4]
+            holders[i] = i % 4
+        docs.append((i, "".join(w + rng.choice([" ", " ", "\n", "  "]) for w in body)))
     spark.createDataFrame([(d, t, None, None, None) for d, t in docs], DOCS).repartition(4).write.parquet(str(tmp_path / "d"))
-    found = paragraphs.repeated_paragraphs(spark.read.parquet(str(tmp_path / "d"))).collect()
-    expected = held_against_all_pairs(found, docs)
-    assert len({(r[4], r[5]) for r in expected}) == len(passages)
-
-
-def test_repeats_query(spark, sf):
+    found = paragraphs.repeated_paragraphs(spark.read.parquet(str(tmp_path / "d")))
+    assert check_repeats(found.collect(), docs) > 0.9
+    assert {r["doc_id"] for r in found.collect()} == set(holders)
+    gone = {r["doc_id"] for r in paragraphs.removals(found).collect()}
+    assert len(set(holders) - gone) == len(passages)
+
+
+def test_repeats_near_copies(spark, tmp_path):
+    rng = random.Random(12)
+    base = words(rng, 200)
+    docs = [(0, " ".join(base)), (99, " ".join(words(rng, 200)))]
+    docs += [(i, " ".join(edited(rng, base, 9))) for i in range(1, 13)]
+    spark.createDataFrame([(d, t, None, None, None) for d, t in docs], DOCS).write.parquet(str(tmp_path / "d"))
+    found = [tuple(r) for r in paragraphs.repeated_paragraphs(spark.read.parquet(str(tmp_path / "d"))).collect()]
+    assert {r[0] for r in found} == set(range(13))
+    groups = defaultdict(list)
+    for d, _, start, end, *group in found:
+        groups[tuple(group[:2])].append(frozenset(shingles_of(dict(docs)[d][start:end])))
+    assert any(a != b and 5 * len(a & b) >= 4 * len(a | b) for own in groups.values() for a in own for b in own)
+    # A pair at the threshold is never in two groups: the recall of the bands is that of all pairs here.
+    every = [(a, g) for g, own in groups.items() for a in own]
+    close = [g == h for a, g in every for b, h in every if a != b and 5 * len(a & b) >= 4 * len(a | b)]
+    assert sum(close) >= 0.95 * len(close)
+
+
+def test_repeats_query(spark):
+    sf = "/root/testdata/sf0.01"
     docs = [tuple(r) for r in spark.read.parquet(f"{sf}/documents.parquet").select("doc_id", "text").collect()]
-    held_against_all_pairs(QUERIES["op1_substring_dedup"](spark, sf).collect(), docs)
+    check_repeats(QUERIES["op1_substring_dedup"](spark, sf).collect(), docs)
 
 
 def test_repeats_odd(spark, tmp_path):
@@ -82,14 +154,17 @@ def test_repeats_odd(spark, tmp_path):
     frame.write.parquet(str(tmp_path / "odd"))
     stored = spark.read.parquet(str(tmp_path / "odd"))
     found = [tuple(r) for r in paragraphs.repeated_paragraphs(stored).collect()]
-    assert sorted(found) == [(5, 0, 0, len(LONG), 5, 0, 3, True), (6, 0, 0, len(LONG), 5, 0, 3, False),
-                             (7, 0, 0, len(LONG) + 1, 5, 0, 3, False)]
+    own = {d: sorted(r[1:4] for r in found if r[0] == d) for d in (5, 6, 7)}
+    assert {r[0] for r in found} == {5, 6, 7} and own[5] == own[6] == own[7] and own[5][0][0] == 0
+    assert {r[6] for r in found} == {3} and all(r[7] == (r[0] == 5) for r in found)
     assert paragraphs.repeated_paragraphs(stored.limit(0)).count() == 0
-    line = " ".join(f"w{i}" for i in range(30))
+    line = " ".join(f"É{i}" for i in range(30))
     same = spark.createDataFrame([(None, line, None, None, None)] * 2 + [(4, line, None, None, None)], DOCS)
     same.write.parquet(str(tmp_path / "same"))
     found = paragraphs.repeated_paragraphs(spark.read.parquet(str(tmp_path / "same"))).collect()
-    assert len(found) == 3 and [r["doc_id"] for r in found if r["kept"]] == [4]
+    firsts = [r for r in found if r["paragraph"] == 0]
+    assert len(firsts) == 3 and [r["doc_id"] for r in firsts if r["kept"]] == [4]
+    assert all(len(line[r["start"]:r["end"]].split()) == 24 for r in firsts)
 
 
 def plain_lines(docs):
@@ -104,27 +179,32 @@ def plain_lines(docs):
 
 
 def fuzzy_by_all_pairs(own, similarity=lines.SIMILARITY):
-    sims = {s: simhash(s) for *_, s in own}
+    """Groups by the edit distances of all pairs of distinct lines whose lengths allow a link."""
+    distinct = sorted({s for *_, s in own}, key=len)
+    root = list(range(len(distinct)))
 
-    def alike(a, b):
-        if a == b:
-            return True
-        longest = max(len(a), len(b))
-        if (sims[a] ^ sims[b]).bit_count() > lines.DISTANCE or abs(len(a) - len(b)) > (1 - similarity) * longest + 1e-9:
-            return False
-        return plain_distance(a, b) <= (1 - similarity) * longest + 1e-9
+    def find(x):
+        while root[x] != x:
+            x = root[x]
+        return x
 
-    roots = groups_of([s for *_, s in own], alike)
+    letters = [Counter(s) for s in distinct]
+    for j, longer in enumerate(distinct):
+        most = int((1 - similarity) * len(longer) + 1e-9)
+        for i in range(j - 1, -1, -1):
+            if len(longer) - len(distinct[i]) > most:
+                break
+            # Letters that only one of them has must be changed, put in or left out.
+            if find(i) != find(j) and (letters[j] - letters[i]).total() <= most and bounded_distance(distinct[i], longer, most) <= most:
+                root[max(find(i), find(j))] = min(find(i), find(j))
+    group = {s: find(i) for i, s in enumerate(distinct)}
+    first, roots = {}, []
+    for i, (*_, s) in enumerate(own):
+        roots.append(first.setdefault(group[s], i))
     return {(d, n, own[roots[i]][0], own[roots[i]][1], roots.count(roots[i]), i == roots[i])
             for i, (d, n, _) in enumerate(own) if roots.count(roots[i]) > 1}
 
 
-def simhash(said):
-    """By Spark's 64-bit hash (xxHash64, seed 42) and plain counting."""
-    hashes = [xxhash.xxh64(w.encode(), seed=42).intdigest() for w in said.split(" ")]
-    return sum(1 << b for b in range(64) if 2 * sum(h >> b & 1 for h in hashes) > len(hashes))
-
-
 def test_lines_all_pairs(spark, tmp_path):
     rng = random.Random(4)
     bases = [words(rng, n) for n in (6, 25, 45)]

@@ -2,92 +2,97 @@
 
 from __future__ import annotations
 
-import hashlib
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from volsmith.llm.common import mark_words, marks, text_of, with_mark
 from volsmith.llm.linking import list_components, shared_values
 from volsmith.llm.near_dedup import may_link, prefix_lists, spread_values, verified_pairs
-from volsmith.llm.shingles import mixed, shingle_sets, word_lists
+from volsmith.llm.shingles import WIDTH, mixed, placed_words, runs_of
 from volsmith.session import ship_package, stage
 
-#: Paragraphs of fewer words are left alone: they are headings, notices and the like.
-MIN_WORDS = 25
+#: Words of a paragraph, and on how many words to each side its first run of words has the least hash.
+WORDS, REACH = 24, 6
 PERCENT = 80
-#: Hash functions of a signature, and the share of pairs at the threshold that must meet in a band.
-HASHES, RECALL = 64, 0.9995
+#: Values of a band, and the share of pairs at the threshold that must meet in a band.
+ROWS, RECALL = 1, 0.99
 ADDED = ["paragraph", "start", "end", "group_doc_id", "group_paragraph", "group_size", "kept"]
+_RANDOM = np.random.default_rng(91)
+_NAMES = _RANDOM.integers(0, 1 << 63, (2, 64), dtype=np.uint64) * np.uint64(2) + np.uint64(1)
+_SALTS = _RANDOM.integers(0, 1 << 63, 256, dtype=np.uint64)
 
 
-def tune_bands(threshold: float, hashes: int = HASHES, recall: float = RECALL) -> tuple[int, int]:
-    """(bands, rows): the most rows a band, within ``hashes``, that still reach ``recall`` at ``threshold``."""
-    for rows in range(hashes, 0, -1):
-        bands = hashes // rows
-        if 1 - (1 - threshold**rows) ** bands >= recall:
-            return bands, rows
-    return hashes, 1
+def tune_bands(threshold: float, rows: int = ROWS, recall: float = RECALL) -> int:
+    """The least number of bands of ``rows`` MinHash values in which ``recall`` of the pairs at ``threshold`` meet."""
+    bands = 1
+    while 1 - (1 - threshold**rows) ** bands < recall:
+        bands += 1
+    return bands
 
 
-def paragraphs_of(text: str, min_words: int) -> Iterator[tuple[int, int, int, str]]:
-    """(number, start, end, text) of the lines with at least ``min_words`` words; places in code points."""
-    at = 0
-    for number, line in enumerate(text.split("\n")):
-        if len(line) >= 2 * min_words - 1 and len(line.split()) >= min_words:
-            yield number, at, at + len(line), line
-        at += len(line) + 1
+def paragraph_starts(runs: np.ndarray, n_words: int) -> np.ndarray:
+    """Words at which paragraphs begin: where a run's hash is least among its neighbours; else the first one.
 
-
-def _name(words: np.ndarray) -> tuple[int, int]:
-    """A name of 128 bits for a list of words."""
-    hi, lo = np.frombuffer(hashlib.blake2b(words.tobytes(), digest_size=16).digest(), np.int64)
-    return int(hi), int(lo)
-
-
-def _signature_parameters(bands: int, rows: int) -> tuple[np.ndarray, np.ndarray]:
-    random = np.random.default_rng(91)
-    n = bands * rows
-    return random.integers(0, 1 << 63, n, dtype=np.uint64) * np.uint64(2) + np.uint64(1), random.integers(
-        0, 1 << 63, n, dtype=np.uint64)
-
-
-def band_keys(values: np.ndarray, bands: int, rows: int, parameters) -> np.ndarray:
-    """One 64-bit key for each band of the MinHash signature of a shingle set."""
-    times, plus = parameters
-    signature = np.full(bands * rows, np.uint64(0xFFFFFFFFFFFFFFFF))
-    for at in range(0, len(values), 4096):  # bounded memory for sets of any size
-        part = values[at:at + 4096, None] * times + plus
-        signature = np.minimum(signature, (part ^ (part >> np.uint64(29))).min(axis=0))
-    keys = np.arange(1, bands + 1, dtype=np.uint64)
-    for column in signature.reshape(bands, rows).T:
-        keys = mixed(keys * np.uint64(0x9E3779B97F4A7C15) + column)
+    A place depends on the ``REACH`` words before it and on words of its own paragraph only, so a passage
+    has the same paragraphs wherever it stands. Of equal hashes the first one counts. Two places are more than
+    ``REACH`` words apart, too far for neighbours to be alike; the first word counts where no place is that near.
+    """
+    if n_words < WORDS:
+        return np.empty(0, np.int64)
+    edge = np.full(REACH, np.uint64(0xFFFFFFFFFFFFFFFF))
+    around = np.lib.stride_tricks.sliding_window_view(np.concatenate([edge, runs, edge]), 2 * REACH + 1)
+    least = around.argmin(1) == REACH
+    least[0] |= not least[:REACH + 1].any()
+    starts = np.flatnonzero(least)
+    return starts[starts + WORDS <= n_words]
+
+
+def _names_and_sets(words: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(starts, names, runs) of the paragraphs of a text: names of 128 bits, and all runs of each paragraph."""
+    runs = runs_of(words)
+    starts = paragraph_starts(runs, len(words))
+    own = words[starts[:, None] + np.arange(WORDS)]
+    names = np.stack([mixed((own * _NAMES[i, :WORDS]).sum(1, dtype=np.uint64)) for i in (0, 1)], 1)
+    return starts, names.view(np.int64), runs[starts[:, None] + np.arange(WORDS - WIDTH + 1)]
+
+
+def band_keys(runs: np.ndarray, bands: int, rows: int = ROWS) -> np.ndarray:
+    """A 64-bit key for each paragraph and band, from MinHash values of its runs."""
+    keys = np.empty((len(runs), bands), np.uint64)
+    for b in range(bands):
+        key = np.full(len(runs), b + 1, np.uint64)
+        for r in range(rows):
+            key = mixed(key * np.uint64(0x9E3779B97F4A7C15) + mixed(runs ^ _SALTS[b * rows + r]).min(1))
+        keys[:, b] = key
     return keys.view(np.int64)
 
 
-def repeated_paragraphs(docs: DataFrame, text: str = "text", key: str = "doc_id", min_words: int = MIN_WORDS,
-                        percent: int = PERCENT) -> DataFrame:
+def repeated_paragraphs(docs: DataFrame, text: str = "text", key: str = "doc_id", percent: int = PERCENT) -> DataFrame:
     """Every paragraph that occurs more than once, in copies or near copies; all but the first go.
 
-    A paragraph is a line of at least ``min_words`` words. Two are linked when the Jaccard similarity of
+    Line breaks do not bound passages that are copied from text to text, so a paragraph is cut by content:
+    ``WORDS`` words from each place where a run of five words has the least hash of its neighbourhood
+    (``paragraph_starts``). Paragraphs overlap; of a passage of 50 words that
+    repeats, 93 in 100 hold at least one whole. Two are linked when the Jaccard similarity of
     their sets of five-word shingles is at least ``percent`` hundredths; candidates share a band of
     MinHash values (``tune_bands`` sets the bands for high recall), and pairs in a band are left out when the
     values that only one paragraph has rule a link out. Groups
-    are connected components. One row for each paragraph of a group: key, ``paragraph`` (line
-    number), ``start`` and ``end`` in code points, the group's first paragraph in order of key and line
+    are connected components. One row for each paragraph of a group: key, ``paragraph`` (its
+    number in the text), ``start`` and ``end`` in code points, the group's first paragraph in order of key and number
     (``group_doc_id``, ``group_paragraph``), ``group_size`` (paragraphs), and ``kept``, true for that
-    first one. Equal paragraphs (up to case and white space) are one class from the start. Null keys
-    come last; rows that repeat a key and text count as further occurrences, the first by place stays; null and
-    empty texts have no paragraphs; an empty table gives an empty result; other columns are not
-    read. ``docs`` has to be a stored table.
+    first one; ``removals`` merges what goes into spans. Equal paragraphs (up to case and white space) are one
+    class from the start. Null keys
+    come last; rows that repeat a key and text count as further occurrences, the first by place stays; texts
+    of fewer than ``WORDS`` words, null and empty ones have no paragraphs; an empty table gives an empty result;
+    other columns are not read. ``docs`` has to be a stored table.
     """
     ship_package(docs.sparkSession)
-    bands, rows = tune_bands(percent / 100)
-    parameters = _signature_parameters(bands, rows)
+    bands = tune_bands(percent / 100)
     schema = T.StructType([
         T.StructField("place", T.LongType()), docs.schema[key], T.StructField("paragraph", T.IntegerType()),
         *[T.StructField(c, T.LongType()) for c in ("start", "end", "hi", "lo")],
@@ -97,17 +102,23 @@ def repeated_paragraphs(docs: DataFrame, text: str = "text", key: str = "doc_id"
         for whole in batches:
             for at in range(0, whole.num_rows, 500):
                 batch = whole.slice(at, 500)
-                found = [(row, *p) for row, t in enumerate(batch.column(2).to_pylist()) for p in paragraphs_of(t, min_words)]
-                names, keys = [], []
-                for values, said in zip(shingle_sets([p[4] for p in found]), word_lists([p[4] for p in found]), strict=True):
-                    names.append(_name(said))
-                    keys.append(band_keys(values, bands, rows, parameters))
-                source = pa.array([p[0] for p in found], pa.int32())
+                source, number, begin, end, names, keys = [], [], [], [], [], []
+                for row, (starts, ends, words) in enumerate(placed_words(batch.column(2).to_pylist())):
+                    first, own, runs = _names_and_sets(words)
+                    source.append(np.full(len(first), row))
+                    number.append(np.arange(len(first)))
+                    begin.append(starts[first])
+                    end.append(ends[first + WORDS - 1])
+                    names.append(own)
+                    keys.append(band_keys(runs, bands))
+                place = pa.array(np.concatenate(source).astype(np.int32))
+                hi, lo = np.concatenate(names).T
+                ends_of = pa.array(np.arange(0, len(place) * bands + 1, bands, dtype=np.int32))
                 yield pa.RecordBatch.from_arrays(
-                    [batch.column(0).take(source), batch.column(1).take(source), pa.array([p[1] for p in found], pa.int32()),
-                     pa.array([p[2] for p in found], pa.int64()), pa.array([p[3] for p in found], pa.int64()),
-                     pa.array([n[0] for n in names], pa.int64()), pa.array([n[1] for n in names], pa.int64()),
-                     pa.array(keys, pa.list_(pa.int64()))], names=schema.names)
+                    [batch.column(0).take(place), batch.column(1).take(place),
+                     pa.array(np.concatenate(number).astype(np.int32)), pa.array(np.concatenate(begin)), pa.array(np.concatenate(end)),
+                     pa.array(hi), pa.array(lo),
+                     pa.ListArray.from_arrays(ends_of, pa.array(np.concatenate(keys).ravel()))], names=schema.names)
 
     placed = docs.select(F.monotonically_increasing_id().alias("place"), F.col(key), text_of(text).alias("text"))
     signed = stage(placed.mapInArrow(sign, schema), "paragraphs")
@@ -130,12 +141,13 @@ def repeated_paragraphs(docs: DataFrame, text: str = "text", key: str = "doc_id"
     def sets_of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
             for at in range(0, whole.num_rows, 500):
-                said = [p[3] for t in whole.column(0).slice(at, 500).to_pylist() for p in paragraphs_of(t, min_words)]
-                names, sets = [_name(w) for w in word_lists(said)], list(shingle_sets(said))
+                found = [_names_and_sets(w)[1:] for _, _, w in placed_words(whole.column(0).slice(at, 500).to_pylist())]
+                names = np.concatenate([n for n, _ in found])
+                runs = np.sort(np.concatenate([r for _, r in found]), axis=1)
+                sets = [row[np.concatenate([[True], row[1:] != row[:-1]])] for row in runs]
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array([n[0] for n in names], pa.int64()), pa.array([n[1] for n in names], pa.int64()),
-                     pa.array([len(v) for v in sets], pa.int64()), pa.array([v.tobytes() for v in sets], pa.binary())],
-                    names=["hi", "lo", "n", "values"])
+                    [pa.array(names[:, 0]), pa.array(names[:, 1]), pa.array([len(v) for v in sets], pa.int64()),
+                     pa.array([v.tobytes() for v in sets], pa.binary())], names=["hi", "lo", "n", "values"])
 
     read = docs.select(text_of(text).alias("text")).mapInArrow(sets_of, "hi long, lo long, n long, values binary")
     wanted = with_mark(read, stage(marks(nodes, "hi", "lo", words=words), "marks"), "hi", "lo", words=words).where("maybe")
@@ -160,3 +172,12 @@ def repeated_paragraphs(docs: DataFrame, text: str = "text", key: str = "doc_id"
     return signed.select("place", key, "paragraph", "start", "end", "hi", "lo").join(named, ["hi", "lo"]).withColumn(
         "kept", (F.col("place") == F.col("group_place")) & (F.col("paragraph") == F.col("group_paragraph"))).select(
             key, *ADDED)
+
+
+def removals(found: DataFrame, key: str = "doc_id") -> DataFrame:
+    """(key, start, end) of the spans that go: paragraphs not kept, overlapping or touching ones as one."""
+    before = Window.partitionBy(key).orderBy("start", "end").rowsBetween(Window.unboundedPreceding, -1)
+    new = F.coalesce(F.col("start") > F.max("end").over(before) + 1, F.lit(True))
+    numbered = found.where("not kept").withColumn("new", new.cast("int")).withColumn(
+        "span", F.sum("new").over(Window.partitionBy(key).orderBy("start", "end")))
+    return numbered.groupBy(key, "span").agg(F.min("start").alias("start"), F.max("end").alias("end")).drop("span")

@@ -30,6 +30,12 @@ def mixed(x: np.ndarray) -> np.ndarray:
 
 def _word_hashes(data: bytes) -> tuple[np.ndarray, np.ndarray]:
     """Starts and hashes of the words in ``data``, which ends with a space."""
+    starts, _, hashes = _words(data)
+    return starts, hashes
+
+
+def _words(data: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Starts, ends and hashes of the words in ``data``, which ends with a space."""
     codes = np.frombuffer(data, np.uint8)
     space = _SPACE[codes]
     before = np.concatenate([[True], space[:-1]])
@@ -41,7 +47,7 @@ def _word_hashes(data: bytes) -> tuple[np.ndarray, np.ndarray]:
     else:
         powers, inverse = _POWERS, _INVERSE
     sums = np.concatenate([[np.uint64(0)], np.cumsum(_OF_BYTE[codes] * powers[:len(codes)], dtype=np.uint64)])
-    return starts, mixed((sums[ends] - sums[starts]) * inverse[starts] + (ends - starts).astype(np.uint64))
+    return starts, ends, mixed((sums[ends] - sums[starts]) * inverse[starts] + (ends - starts).astype(np.uint64))
 
 
 def _cuts(data: bytes) -> Iterator[bytes]:
@@ -96,6 +102,53 @@ def _of_several(texts: list[bytes]) -> Iterator[np.ndarray]:
         begin = end
 
 
+def runs_of(words: np.ndarray) -> np.ndarray:
+    """The hash of each run of ``WIDTH`` words, in order; none for fewer words."""
+    count = max(len(words) - WIDTH + 1, 0)
+    total = np.full(count, WIDTH * _BASE % (1 << 64), np.uint64)
+    for k in range(WIDTH):
+        total += words[k:k + count] * _OF_PLACE[k]
+    return mixed(total)
+
+
+def placed_words(texts: list[str]) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """Starts and ends in code points and hashes of the words of each text, A-Z in lower case."""
+    held: list[bytes] = []
+    size = 0
+    for text in texts:
+        data = text.encode("utf-8", "surrogatepass").translate(_LOWER)
+        if size + len(data) + 1 > CHUNK and held:
+            yield from _places_of_several(held)
+            held, size = [], 0
+        if len(data) + 1 > CHUNK:
+            parts, at = [], 0
+            for part in _cuts(data):
+                starts, ends, hashes = _in_code_points(part)
+                parts.append((starts + at, ends + at, hashes))
+                at += len(part[:-1].decode("utf-8", "surrogatepass"))
+            yield tuple(np.concatenate(column) for column in zip(*parts))
+        else:
+            held.append(data)
+            size += len(data) + 1
+    if held:
+        yield from _places_of_several(held)
+
+
+def _in_code_points(data: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    starts, ends, hashes = _words(data)
+    passed = np.cumsum((np.frombuffer(data, np.uint8) & 0xC0) != 0x80) - 1
+    return passed[starts], passed[ends], hashes
+
+
+def _places_of_several(texts: list[bytes]) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    data = b" ".join(texts) + b" "
+    starts, ends, hashes = _in_code_points(data)
+    sizes = np.cumsum([0, *(len(t.decode("utf-8", "surrogatepass")) + 1 for t in texts)])
+    cuts = np.searchsorted(starts, sizes).tolist()
+    for begin, end, at in zip(cuts, cuts[1:], sizes.tolist()):
+        yield starts[begin:end] - at, ends[begin:end] - at, hashes[begin:end]
+
+
 def word_lists(texts: list[str]) -> Iterator[np.ndarray]:
     """The hashes of the words of each text, in order, A-Z in lower case."""
     for text in texts:
