@@ -222,6 +222,10 @@ def test_adf_equals_direct_regression(spark):
         tau, lag, n = direct_adf(series)
         assert found[ticker]["adf_stat"] == pytest.approx(tau, rel=1e-6)
         assert (found[ticker]["used_lag"], found[ticker]["n_obs"]) == (lag, n)
+    chunked = {r["ticker"]: r for r in adf(df, "v", chunk_rows=40).collect()}
+    for ticker, row in found.items():
+        assert tuple(chunked[ticker])[3:5] == tuple(row)[3:5]
+        assert row["adf_stat"] is None or chunked[ticker]["adf_stat"] == pytest.approx(row["adf_stat"], rel=1e-9)
     assert found["W"]["p_value"] > 0.05
     assert found["S"]["adf_stat"] is None
 

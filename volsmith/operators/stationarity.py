@@ -11,9 +11,13 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from volsmith.config import CHUNK_ROWS
+from volsmith.operators.chunks import positions, window_columns
+from volsmith.session import stage
+
 # Response surface of the p-value with a constant and one series (MacKinnon 1994).
 TAU_MAX = 2.74
 TAU_MIN = -18.83
@@ -92,36 +96,34 @@ def _solve(by: str, width: int):
 
 def adf(
     df: DataFrame, column: str, by: str = "ticker", order: str = "date",
-    max_lag: int | None = None,
+    max_lag: int | None = None, chunk_rows: int | None = CHUNK_ROWS,
 ) -> DataFrame:
     """Statistic, p-value and chosen lag per ticker, with a constant.
 
     The lag is the one of least AIC up to ``max_lag``, by default ceil(12 (n/100)^(1/4)).
-    Missing values are dropped before lagging. A series too short gives NULLs.
+    Missing values are dropped before lagging. A series too short gives NULLs. A long series is cut into
+    chunks, each with the rows before it that the longest lag reaches, and the chunks' sums of products are
+    added up.
     """
     series = df.where(F.col(column).isNotNull()).select(
         by, order, F.col(column).cast("double").alias("y")
     )
-    spec = Window.partitionBy(by).orderBy(order)
-    whole = Window.partitionBy(by)
+    sizes = stage(series.groupBy(by).agg(F.count(F.lit(1)).alias("__n")), "series-sizes")
     n = F.col("__n")
     limit = F.greatest(F.floor(n / 2) - 2, F.lit(0))
     wanted = F.ceil(12 * F.pow(n / 100, F.lit(0.25))) if max_lag is None else F.lit(max_lag)
     lags = F.least(wanted, limit).cast("int")
-    if max_lag is None:
-        longest = series.groupBy(by).agg(F.count(F.lit(1)).alias("__n")).agg(F.max(lags)).first()[0]
-        longest = int(longest or 0)
-    else:
-        longest = max_lag
+    longest = int(sizes.agg(F.max(lags)).first()[0] or 0) if max_lag is None else max_lag
     width = longest + 3
-    shifted = series.withColumns({
-        "r": F.row_number().over(spec), "__n": F.count(F.lit(1)).over(whole),
-        "level": F.lag("y").over(spec), "step": F.col("y") - F.lag("y").over(spec),
-    })
-    lagged = [F.coalesce(F.lag("step", i).over(spec), F.lit(0.0)) for i in range(1, longest + 1)]
-    level, step = (F.coalesce(c, F.lit(0.0)) for c in ("level", "step"))
+    placed = positions(series, [by], [order], "r", chunk_rows).withColumn("r", (F.col("r") + 1).cast("int"))
+    shifted = window_columns(
+        placed, [by], [order], lambda w: {f"y{i}": F.lag("y", i).over(w) for i in range(1, longest + 2)},
+        before=longest + 1, chunk_rows=chunk_rows,
+    ).join(sizes, by)
+    values = ["y", *(f"y{i}" for i in range(1, longest + 2))]
+    step, *lagged = (F.coalesce(F.col(a) - F.col(b), F.lit(0.0)) for a, b in zip(values, values[1:]))
     regressors = shifted.select(
-        by, "r", lags.alias("lags"), F.array(F.lit(1.0), level, *lagged, step).alias("z")
+        by, "r", lags.alias("lags"), F.array(F.lit(1.0), F.coalesce("y1", F.lit(0.0)), *lagged, step).alias("z")
     )
     # Bucket 0 holds the rows every lag can use, 2 and up the early rows one by one. The first row
     # has no predecessor; its bucket only keeps a one-row ticker in the result.

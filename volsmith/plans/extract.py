@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Iterable
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Observation, SparkSession
 
 from volsmith.config import PipelineConfig
 from volsmith.operators.clean import add_date_parts, volume_cap, volume_thresholds
@@ -47,8 +47,8 @@ def process_tickers(
 ) -> ExtractRun:
     """All tickers in one job. A ticker that yields nothing is a status row, not an error.
 
-    With an ``output_dir`` quotes and metadata are written there and read back; without one
-    metadata and summary are computed when they are asked for.
+    With an ``output_dir`` quotes and metadata are written there and read back. Rows and years are
+    counted by the writes themselves, for each asked ticker, so no table is read again for the metadata.
     """
     tickers = list(tickers)
     secids = scans.resolve_secids(master, tickers)
@@ -59,20 +59,23 @@ def process_tickers(
         spark, prices, names, tickers, config.from_date, config.to_date, config.dedupe_names
     )
     # Written once: the threshold, the cut points and the rows are later read from it column-wise.
-    joined = stage(join_stock(raw, stock), "joined")
+    seen, kept = Observation("raw quotes"), Observation("cleaned quotes")
+    metrics = sinks.ticker_metrics(tickers)
+    joined = stage(join_stock(raw, stock).observe(seen, *metrics), "joined")
     cleaned, thresholds = apply_transformations(joined, config)
     files = None
     if config.output_dir:
         root = f"{config.output_dir}/quotes"
-        sinks.write_quotes(cleaned, root)
+        sinks.write_quotes(cleaned, root, observe=lambda rows: rows.observe(kept, *metrics))
         cleaned = spark.read.parquet(root)
         files = sinks.written_files(spark, root)
     else:
-        cleaned = stage(cleaned, "cleaned")
-    metadata = sinks.run_metadata(joined, cleaned, thresholds, config, files)
+        cleaned = stage(cleaned.observe(kept, *metrics), "cleaned")
+    counts = sinks.observed_counts(spark, tickers, seen, kept)
+    metadata = sinks.run_metadata(joined, cleaned, thresholds, config, files, counts)
     if config.output_dir:
         sinks.write_metadata(metadata, f"{config.output_dir}/metadata")
         metadata = scans.read_metadata(spark, f"{config.output_dir}/metadata")
     requested = spark.createDataFrame([(t,) for t in tickers], "ticker string")
-    summary = sinks.run_summary(requested, metadata)
+    summary = sinks.run_summary(requested, metadata, files)
     return ExtractRun(cleaned, metadata, summary)

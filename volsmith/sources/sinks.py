@@ -2,13 +2,13 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterable
+from collections.abc import Callable, Iterable, Sequence
 from dataclasses import dataclass
 from importlib import import_module
 from typing import Any
 
 from pyspark.errors import AnalysisException
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 from volsmith.config import ROW_GROUP_ROWS, PipelineConfig
@@ -28,16 +28,33 @@ METADATA_SCHEMA = """
 """
 
 
-def write_quotes(df: DataFrame, root: str, rows_per_file: int = 20 * ROW_GROUP_ROWS) -> None:
+def ticker_metrics(tickers: Sequence[str]) -> list[Column]:
+    """Rows and years of each asked ticker, as metrics that a write can observe."""
+    own = [F.col("ticker") == t for t in tickers]
+    counts = [F.count_if(c).alias(f"n{i}") for i, c in enumerate(own)]
+    return counts + [F.collect_set(F.when(c, F.year("date"))).alias(f"years{i}") for i, c in enumerate(own)]
+
+
+def observed_counts(spark: SparkSession, tickers: Sequence[str], raw: Observation, written: Observation) -> DataFrame:
+    """ticker, n_raw, n_written, years: what two finished writes saw; tickers without raw rows are left out."""
+    before, after = raw.get, written.get
+    rows = [(t, before[f"n{i}"], after[f"n{i}"], sorted(after[f"years{i}"])) for i, t in enumerate(tickers) if before[f"n{i}"]]
+    return spark.createDataFrame(rows, "ticker string, n_raw bigint, n_written bigint, years array<int>")
+
+
+def write_quotes(
+    df: DataFrame, root: str, rows_per_file: int = 20 * ROW_GROUP_ROWS,
+    observe: Callable[[DataFrame], DataFrame] | None = None,
+) -> None:
     """Cleaned quotes under ``ticker=/year=`` folders, Snappy, sorted by date in each file (K1).
 
     Rebalancing splits a hot (ticker, year) over several tasks and merges small ones by their real
-    size, so files come out even. Years without rows get no folder.
+    size, so files come out even. Years without rows get no folder. ``observe`` adds metrics as the last step
+    before the files, where a task that is run again is counted once.
     """
+    even = df.drop("month", "day").hint("rebalance", "ticker", "year").sortWithinPartitions("ticker", "year", "date")
     (
-        df.drop("month", "day")
-        .hint("rebalance", "ticker", "year")
-        .sortWithinPartitions("ticker", "year", "date")
+        (observe(even) if observe else even)
         .write.mode("overwrite")
         .option("compression", "snappy")
         .option("parquet.block.row.count.limit", str(ROW_GROUP_ROWS))
@@ -59,20 +76,22 @@ def write_table(df: DataFrame, path: str) -> None:
 
 def run_metadata(
     raw: DataFrame, cleaned: DataFrame, thresholds: DataFrame, config: PipelineConfig,
-    files: DataFrame | None = None,
+    files: DataFrame | None = None, counts: DataFrame | None = None,
 ) -> DataFrame:
     """One metadata document per ticker (K4).
 
     ``raw`` is counted before any filter, so the retention rate is the true one. ``files`` has
-    columns ticker and file; without it the list is empty.
+    columns ticker and file; without it the list is empty. ``counts`` (``observed_counts`` of the writes)
+    spares reading ``raw`` and ``cleaned`` again.
     """
-    spark = raw.sparkSession
-    counted = raw.groupBy("ticker").agg(F.count(F.lit(1)).alias("n_raw"))
-    written = cleaned.groupBy("ticker").agg(
-        F.count(F.lit(1)).alias("n_written"),
-        F.sort_array(F.collect_set(F.year("date"))).alias("years"),
-    )
-    joined = counted.join(written, "ticker", "left").join(
+    if counts is None:
+        counted = raw.groupBy("ticker").agg(F.count(F.lit(1)).alias("n_raw"))
+        written = cleaned.groupBy("ticker").agg(
+            F.count(F.lit(1)).alias("n_written"),
+            F.sort_array(F.collect_set(F.year("date"))).alias("years"),
+        )
+        counts = counted.join(written, "ticker", "left")
+    joined = counts.join(
         thresholds.select("ticker", "volume_threshold"), "ticker", "left"
     )
     if files is not None:
@@ -108,12 +127,9 @@ def run_metadata(
 
 
 def written_files(spark: SparkSession, root: str) -> DataFrame:
-    """The files of a ``ticker=/year=`` dataset, one row per (ticker, file)."""
-    return (
-        spark.read.parquet(root)
-        .select("ticker", F.input_file_name().alias("file"))
-        .distinct()
-    )
+    """The files of a ``ticker=/year=`` dataset, one row per (ticker, file); only the folders are listed."""
+    listed = spark.read.format("binaryFile").option("pathGlobFilter", "*.parquet").load(root)
+    return listed.select(F.col("ticker").cast("string").alias("ticker"), F.col("path").alias("file"))
 
 
 def write_metadata(metadata: DataFrame, path: str) -> None:
@@ -121,10 +137,18 @@ def write_metadata(metadata: DataFrame, path: str) -> None:
     metadata.write.mode("overwrite").json(path)
 
 
-def run_summary(requested: DataFrame, metadata: DataFrame) -> DataFrame:
-    """Status of every asked ticker (K5); a ticker without documents did not get through."""
+def run_summary(requested: DataFrame, metadata: DataFrame, files: DataFrame | None = None) -> DataFrame:
+    """Status of every asked ticker (K5); a ticker without documents did not get through.
+
+    ``files`` (ticker, file) is counted by ticker; without it the documents' lists are.
+    """
     stats = "data_statistics"
-    return requested.select("ticker").distinct().join(metadata, "ticker", "left").select(
+    asked = requested.select("ticker").distinct().join(metadata, "ticker", "left")
+    n_files = F.array_size("files_created")
+    if files is not None:
+        asked = asked.join(files.groupBy("ticker").agg(F.count("*").cast("int").alias("n_files")), "ticker", "left")
+        n_files = F.col("n_files")
+    return asked.select(
         "ticker",
         F.when(F.col(stats).isNull(), "failed")
         .when(F.col(f"{stats}.total_records_written") == 0, "empty")
@@ -132,7 +156,7 @@ def run_summary(requested: DataFrame, metadata: DataFrame) -> DataFrame:
         F.when(F.col(stats).isNull(), "no quotes found")
         .when(F.col(f"{stats}.total_records_written") == 0, "no rows after filtering")
         .alias("reason"),
-        F.coalesce(F.array_size("files_created"), F.lit(0)).alias("files_created"),
+        F.coalesce(n_files, F.lit(0)).alias("files_created"),
         F.coalesce(F.col(f"{stats}.total_records_raw"), F.lit(0).cast("bigint"))
         .alias("records_processed"),
         F.coalesce(F.col(f"{stats}.total_records_written"), F.lit(0).cast("bigint"))
