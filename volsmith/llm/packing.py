@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import json
 import os
+import struct
 from collections.abc import Iterator
 from functools import lru_cache
 from math import ceil
@@ -16,6 +18,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from volsmith.llm.common import text_of
+from volsmith.llm.splitting import splitter
 from volsmith.session import ship_package, stage
 
 CAPACITY = 1024
@@ -23,14 +26,23 @@ CAPACITY = 1024
 SLACK = 8
 #: Items that one task packs at a time: about 20 MB of numbers.
 BLOCK = 200_000
-#: Matches whose ids a Python worker remembers, and the longest of them.
+#: Matches whose ids a Python worker remembers, in two generations, and the longest of them.
 REMEMBERED, LONGEST = 400_000, 64
 
 
+def _byte_letters() -> dict[int, str]:
+    """The letter by which byte-level vocabularies write each byte: itself if it shows, else the next from 256 on."""
+    shown = {*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)}
+    hidden = [b for b in range(256) if b not in shown]
+    return {b: chr(b) for b in shown} | {b: chr(256 + i) for i, b in enumerate(hidden)}
+
+
 class _Ids:
     """Ids of texts by a tokenizer; of texts split by its own pattern, each distinct match once.
 
     Added tokens come before the pattern and may span its matches, so a text that holds one is encoded whole.
+    Matches whose ids are known are kept in two generations: when the young one is full it becomes the old one,
+    and what is asked for again moves over, so frequent matches stay. It changes no result.
     """
 
     def __init__(self, content: bytes, pattern: str | None) -> None:
@@ -43,26 +55,43 @@ class _Ids:
         by_match = pattern and self.tokenizer.normalizer is None
         holds_added = regex.compile("|".join(map(regex.escape, added)) if added else "(?!)").search
         self.is_whole = holds_added if by_match else lambda text: True
-        self.split = regex.compile(pattern).findall if by_match else None
-        self.known: dict[str, np.ndarray] = {}
+        self.split = splitter(pattern) if by_match else None
+        before = json.loads(content).get("pre_tokenizer") or {}
+        self.byte_level = before.get("type") == "ByteLevel" and not before.get("add_prefix_space")
+        self.letters = _byte_letters()
+        self.young: dict[str, bytes] = {}
+        self.old: dict[str, bytes] = {}
+
+    def _of_matches(self, matches: list[str]) -> Iterator[bytes]:
+        """Ids of single matches; a byte-level model may be asked without the steps before it."""
+        if self.byte_level:
+            run, letters = self.tokenizer.model.tokenize, self.letters
+            for m in matches:
+                ids = [t.id for t in run(m.encode("utf-8", "surrogatepass").decode("latin-1").translate(letters))]
+                yield struct.pack(f"<{len(ids)}I", *ids)
+        else:
+            for e in self.tokenizer.encode_batch_fast(matches, add_special_tokens=False):
+                yield struct.pack(f"<{len(e.ids)}I", *e.ids)
 
     def of_batch(self, texts: list[str]) -> list[np.ndarray]:
-        if len(self.known) >= REMEMBERED:
-            self.known.clear()
+        if len(self.young) >= REMEMBERED // 2:
+            self.young, self.old = {}, self.young
         whole = [i for i, t in enumerate(texts) if t and self.is_whole(t)]
         coded = self.tokenizer.encode_batch_fast([texts[i] for i in whole], add_special_tokens=False)
         of_whole = {i: np.array(e.ids, dtype="<u4") for i, e in zip(whole, coded, strict=True)}
         matches = [self.split(t) if t and i not in of_whole else [] for i, t in enumerate(texts)]
-        known = self.known
+        young, old = self.young, self.old
         # Long matches are looked up once and not kept.
-        fresh = list(set().union(*matches).difference(known))
-        for m, e in zip(fresh, self.tokenizer.encode_batch_fast(fresh, add_special_tokens=False), strict=True):
-            known[m] = np.array(e.ids, dtype="<u4").tobytes()
-        found = [of_whole[i] if i in of_whole else np.frombuffer(b"".join(map(known.__getitem__, own)), dtype="<u4")
+        unknown = set().union(*matches).difference(young)
+        again = unknown.intersection(old) if old else ()
+        young.update((m, old[m]) for m in again)
+        fresh = list(unknown.difference(again))
+        young.update(zip(fresh, self._of_matches(fresh), strict=True))
+        found = [of_whole[i] if i in of_whole else np.frombuffer(b"".join(map(young.__getitem__, own)), dtype="<u4")
                  for i, own in enumerate(matches)]
         for m in fresh:
             if len(m) > LONGEST:
-                del known[m]
+                del young[m]
         return found
 
 
