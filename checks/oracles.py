@@ -620,3 +620,13 @@ lagged as (select symbol, j.secid, j.date, {', '.join(f'j.prc - p{d}.v as price_
     from joined j {' '.join(map(_as_of, LAGS))})
 select symbol, secid, date, {rs(*[f'price_diff_{d}d' for d in LAGS])} from lagged
 where price_diff_233d is not null""", "quotes", "stock")
+add("pca_two_columns", f"""
+with c as (select corr(atm_iv, skew) as rho from daily
+    where atm_iv is not null and skew is not null and curvature is not null)
+select 1 as component, {r('(1 + abs(rho)) / 2', 'ratio')}, {r('sign(rho) / 2', 'product')} from c
+union all select 2, {r('(1 - abs(rho)) / 2', 'ratio')}, {r('-sign(rho) / 2', 'product')} from c""", "daily")
+add("top_loadings_of_table", f"""
+select component, feature, {r('loading')}, rank from (
+    select cast(s_nationkey % 5 as int) as component, s_name as feature, cast(s_acctbal as double) as loading,
+        row_number() over (partition by s_nationkey % 5 order by abs(s_acctbal) desc, s_name) as rank from supplier)
+where rank <= 5""")

@@ -696,6 +696,24 @@ def _(spark, sf):
     return regimes.top_loadings(parts.loadings)
 
 
+@register("pca_two_columns")
+def _(spark, sf):
+    pair = ["atm_iv", "skew"]
+    loadings = regimes.pca_by_variance(_scaled_daily(spark, sf), pair, 1.0).loadings
+    of = {c: F.max(F.when(F.col("feature") == c, F.col("loading"))) for c in pair}
+    # Both loadings of a component weigh the same here, so only their product has a sign.
+    return rounded(loadings.groupBy("component").agg(
+        F.max("ratio").alias("ratio"), (of["atm_iv"] * of["skew"]).alias("product")))
+
+
+@register("top_loadings_of_table")
+def _(spark, sf):
+    suppliers = spark.read.parquet(f"{sf}/supplier.parquet")
+    loadings = suppliers.select((F.col("s_nationkey") % 5).cast("int").alias("component"), F.col("s_name").alias("feature"),
+                                F.col("s_acctbal").cast("double").alias("loading"))
+    return rounded(regimes.top_loadings(loadings))
+
+
 @register("ward_clusters")
 def _(spark, sf):
     return regimes.ward_clusters(_scaled_daily(spark, sf), NUMERIC, 3).labelled
