@@ -98,7 +98,8 @@ def check_repeats(found, docs, least_recall=0.9):
         groups[first, first_n].append((d, n, shingles_of(texts[d][start:end]), size, kept))
     windows = repeated_windows(docs, 50)
     hit = [any(start <= s and e <= end for s, e in spans[d]) for d, own in windows.items() for start, end in own]
-    assert hit and sum(hit) >= least_recall * len(hit)
+    assert hit and sum(hit) >= least_recall * len(hit) and set(windows) <= set(spans)
+    assert set(spans) <= set(repeated_windows(docs, 16))
     for first, members in groups.items():
         assert {m[3] for m in members} == {len(members)} and len(members) > 1
         assert [m[:2] for m in members if m[4]] == [first] == [min(m[:2] for m in members)]

@@ -73,7 +73,9 @@ def band_keys(runs: np.ndarray, bands: int, rows: int = ROWS) -> np.ndarray:
 
 
 def repeated_paragraphs(docs: DataFrame, text: str = "text", key: str = "doc_id", percent: int = PERCENT) -> DataFrame:
-    """Every paragraph that occurs more than once, in copies or near copies; all but the first go.
+    """Every paragraph that several texts hold, in copies or near copies; all but the first go.
+
+    What a text only repeats by itself (refrains, junk) is left alone.
 
     Line breaks do not bound passages that are copied from text to text, so a paragraph is cut by content:
     ``WORDS`` words from each place where a run of five words has the least hash of its neighbourhood
@@ -124,7 +126,8 @@ def repeated_paragraphs(docs: DataFrame, text: str = "text", key: str = "doc_id"
     signed = stage(placed.mapInArrow(sign, schema), "paragraphs")
     order = F.struct(F.col(key).isNull().alias("last"), F.col(key).alias("key"), "place", "paragraph")
     classes = stage(
-        signed.groupBy("hi", "lo").agg(F.min(order).alias("first"), F.count("*").alias("n"))
+        signed.groupBy("hi", "lo").agg(F.min(order).alias("first"), F.count("*").alias("n"), F.min("place").alias("low"),
+                                       F.max("place").alias("high"))
         .withColumn("node", F.monotonically_increasing_id()), "classes")
 
     values = signed.select("hi", "lo", F.explode("bands").alias("value"))
@@ -165,7 +168,8 @@ def repeated_paragraphs(docs: DataFrame, text: str = "text", key: str = "doc_id"
         lambda one, other: may_link(percent, f"{one}n", f"{one}at", f"{other}n", f"{other}at"),
         first=F.col("at") * 1000 / F.col("n"), last=last)
     rooted = classes.join(roots, "node", "left").withColumn("root", F.coalesce("component", "node"))
-    groups = rooted.groupBy("root").agg(F.min("first").alias("first"), F.sum("n").alias("n")).where("n > 1")
+    groups = rooted.groupBy("root").agg(
+        F.min("first").alias("first"), F.sum("n").alias("n"), F.min("low").alias("low"), F.max("high").alias("high")).where("low <> high")
     named = stage(rooted.select("root", "hi", "lo").join(groups, "root").select(
         "hi", "lo", F.col("first.key").alias("group_doc_id"), F.col("first.paragraph").alias("group_paragraph"),
         F.col("first.place").alias("group_place"), F.col("n").alias("group_size")), "groups")
