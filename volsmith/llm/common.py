@@ -70,6 +70,18 @@ def with_mark(df: DataFrame, marked: DataFrame, *columns: str, words: int = MARK
     return joined.withColumn("maybe", hit).drop("mark_word", "mark_bit", "mark_bits")
 
 
+def without_rows(docs: DataFrame, dropped: DataFrame) -> DataFrame:
+    """The rows of a stored table but for those at the staged places ``dropped`` (``place``, distinct).
+
+    Only rows that a bit set of the places cannot clear are shuffled with their contents.
+    """
+    words = mark_words(dropped.count())
+    named = with_mark(as_row(docs, F.monotonically_increasing_id().alias("place")),
+                      stage(marks(dropped, "place", words=words), "marks"), "place", words=words)
+    stay = named.where("not maybe").unionByName(named.where("maybe").join(dropped, "place", "left_anti"))
+    return back_to_columns(stay, docs.columns, [])
+
+
 def components(links: DataFrame) -> DataFrame:
     """Connected components of ``links`` (a, b): one row (node, component) for every linked node.
 

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from volsmith.llm.common import NOT_SPACE, SPACE, as_row, back_to_columns, text_of
+from volsmith.llm.common import NOT_SPACE, SPACE, as_row, back_to_columns, text_of, without_rows
 from volsmith.session import stage
 
 MIN_WORDS = 50
@@ -106,6 +106,19 @@ def quality_rules(docs: DataFrame, text: str = "text", host: str = "source",
     return with_hosts(judged, host_verdicts(judged.select("host", "base_failed"), max_rate), docs.columns)
 
 
+def passing_documents(docs: DataFrame, text: str = "text", host: str = "source", max_rate: float = MAX_HOST_RATE) -> DataFrame:
+    """The rows of ``docs`` that ``quality_rules`` keeps, with their own columns.
+
+    The rules are evaluated once: places are staged with their verdicts, hosts are judged from that table, and
+    the rows that fail are taken out of ``docs`` by place. ``docs`` has to be a stored table.
+    """
+    narrow = docs.select(F.monotonically_increasing_id().alias("place"), F.col(f"`{text}`").alias("text"), F.col(f"`{host}`").alias("of"))
+    judged = stage(rule_columns(narrow, "text", "of").select("row.place", "host", "base_failed"), "judged")
+    rejected = host_verdicts(judged.select("host", "base_failed"), max_rate)
+    hosts = judged.where("not base_failed").join(rejected, "host", "left_semi").select("place")
+    return without_rows(docs, stage(judged.where("base_failed").select("place").union(hosts), "failed"))
+
+
 def with_hosts(judged: DataFrame, rejected: DataFrame, names: list[str]) -> DataFrame:
     """``judged`` rows with the verdicts of their hosts."""
     joined = judged.join(rejected, "host", "left").withColumn("host_rejected", F.col("host_rate").isNotNull())
