@@ -99,7 +99,9 @@ def test_license_query(spark, sf, docs):
 
 def test_license_odd(spark):
     frame = spark.createDataFrame(ODD, DOCS).withColumn("labels", F.lit("x")).withColumn("place", F.lit(1)).withColumn("best", F.lit(1))
+    frame = frame.withColumns({"__body": F.lit(1), "__place": F.lit(2), "a.b": F.lit(3)})
     found = licenses.license_scan(frame)
+    assert found.columns == [c for c in frame.columns if c not in licenses.ADDED] + licenses.ADDED
     got = rows(found, "text", *licenses.ADDED)
     expected = [(t, *brute.licenses(t, licenses.PHRASES, licenses.TEMPLATES, licenses.THRESHOLD)) for _, t, *_ in ODD]
     assert got == sorted(expected, key=repr)

@@ -108,9 +108,8 @@ def license_scan(docs: DataFrame, text: str = "text", templates: dict[str, str]
     has_rare = f"(?i)(?<![^{GAP}])(?:{'|'.join(rare)})(?![^{GAP}])"
 
     carry = docs.columns if carry is None else carry
-    own = docs.select(*carry, text_of(text).alias("__body"), F.monotonically_increasing_id().alias("__place"))
-    placed = own.select(F.struct(*[F.col(f"`{c}`") for c in carry]).alias("row"), F.col("__body").alias("body"),
-                        F.col("__place").alias("place"))
+    placed = docs.select(F.struct(*[F.col(f"`{c}`").alias(c) for c in carry]).alias("row"), text_of(f"`{text}`").alias("body"),
+                         F.monotonically_increasing_id().alias("place"))
     lines = placed.where(F.col("body").rlike(has_rare)).select("place", F.posexplode(F.split("body", "\n")).alias("line", "said"))
     by_rank = F.array(*[F.lit(w) for w in sorted(vocabulary, key=ranks.__getitem__)])
     held = F.array_intersect(by_rank, F.split(lower_az(F.col("said")), f"[{GAP}]+"))
