@@ -21,7 +21,7 @@ from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 from tests.llm.test_rules import DOCS, LONG, ODD, rows
-from volsmith.llm import automaton, bpe, packing, secret_scan, warc
+from volsmith.llm import automaton, bpe, packing, secret_scan, splitting, warc
 from volsmith.llm.queries import QUERIES
 
 RANKS = public_tokenizers.path("byte_bpe_50k.tiktoken")
@@ -83,6 +83,16 @@ def test_secret_odd(spark):
     assert secret_scan.secret_scan(frame.limit(0)).count() == 0
 
 
+@settings(max_examples=2000, deadline=None)
+@given(st.text(alphabet=[chr(c) for c in range(256)] + list("'sd rell  \n\t¼½²ª09漢é"), max_size=30))
+def test_western_splits_are_the_usual_ones(text):
+    assert splitting.splitter(public_tokenizers.PATTERN)(text) == regex.findall(public_tokenizers.PATTERN, text)
+
+
+def test_other_properties_have_no_plain_form():
+    assert splitting.latin_pattern(r"\p{Lu}+") is None and splitting.latin_pattern(r"[^\p{N}]\s") is not None
+
+
 @lru_cache
 def tiktoken_coder():
     ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, Path(RANKS).open("rb"))}
@@ -255,3 +265,23 @@ def test_split_pattern_is_the_tokenizers_own():
     text = "It's 12 o'clock,  naïve\n\n  x\t漢字!? "
     ids = [i for m in regex.findall(public_tokenizers.PATTERN, text) for i in tokenizer.encode(m).ids]
     assert ids == tokenizer.encode(text).ids
+
+
+@pytest.mark.parametrize("sizes", [(3_000_000, 40), (30, 30, 30), (0,), (900_000,) * 6])
+def test_every_archive_has_a_dictionary(spark, tmp_path, sizes):
+    pages = [(i, f"http://h/{i}", f"<p>page {i}</p>" + "".join(f"<b>{j * (i + 3) % 977}</b>" for j in range(n // 8)))
+             for i, n in enumerate(sizes)]
+    frame = spark.createDataFrame(pages, "page_id long, url string, html string").coalesce(1)
+    archives = warc.write_archives(frame, str(tmp_path / "out"))
+    for row in archives.collect():
+        data = Path(row["path"].removeprefix("file:")).read_bytes()
+        assert data[:4] == warc.DICTIONARY_MAGIC.to_bytes(4, "little")
+        assert row["dictionary_bytes"] == int.from_bytes(data[4:8], "little") > 0
+    assert {r["page_id"]: bytes(r["payload"]).decode() for r in warc.read_archives(archives).collect()} == {
+        i: h for i, _, h in pages}
+
+
+def test_samples_are_spread():
+    records = [bytes([i]) * 700_000 for i in range(10)]
+    samples = warc.samples_of(records)
+    assert {s[0] for s in samples} == set(range(10)) and sum(map(len, samples)) <= warc.TRAINING_BYTES * 1.01

@@ -9,15 +9,15 @@ from pathlib import Path
 
 import numpy as np
 import pyarrow as pa
-import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
+from volsmith.llm.splitting import splitter
 from volsmith.session import ship_package
 
 NONE = 1 << 40
-#: Matches whose ids a Python worker remembers (about 60 MB), and the longest of them; when the
-#: memory is full it starts anew. It changes no result.
+#: Matches whose ids a Python worker remembers (about 60 MB) in two generations, and the longest of them.
+#: When the young one is full it becomes the old one; what is met again moves over. It changes no result.
 REMEMBERED, LONGEST = 250_000, 64
 
 
@@ -93,18 +93,21 @@ class Encoder:
 
     def __init__(self, content: bytes, pattern: str) -> None:
         self.ranks = read_ranks(content)
-        self.split = regex.compile(pattern).findall
+        self.split = splitter(pattern)
         self.known: dict[str, bytes] = {}
+        self.old: dict[str, bytes] = {}
 
     def encode(self, text: str) -> bytes:
-        known, parts = self.known, []
+        if len(self.known) >= REMEMBERED // 2:
+            self.known, self.old = {}, self.known
+        known, old, parts = self.known, self.old, []
         for match in self.split(text):
             packed = known.get(match)
             if packed is None:
-                packed = np.array(merge(match.encode("utf-8", "surrogatepass"), self.ranks), dtype="<u4").tobytes()
+                packed = old.get(match)
+                if packed is None:
+                    packed = np.array(merge(match.encode("utf-8", "surrogatepass"), self.ranks), dtype="<u4").tobytes()
                 if len(match) <= LONGEST:
-                    if len(known) >= REMEMBERED:
-                        known.clear()
                     known[match] = packed
             parts.append(packed)
         return b"".join(parts)

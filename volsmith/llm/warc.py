@@ -21,8 +21,9 @@ from volsmith.session import ship_package, stage, staging_root
 #: The skippable frame in front of an archive that holds its dictionary.
 DICTIONARY_MAGIC = 0x184D2A5D
 DICTIONARY_BYTES = 32_768
-#: A dictionary is trained on the first records of its archive: at most so many bytes of them.
-TRAINING_BYTES = 2_000_000
+#: A dictionary is trained on pieces of so many bytes, spread evenly over its archive's records, and on at most so
+#: many bytes of them together.
+SAMPLE_BYTES, TRAINING_BYTES = 2048, 2_000_000
 #: A new archive begins when this many payload bytes are in one.
 ARCHIVE_BYTES = 64_000_000
 #: Payloads shorter than this are stored each time.
@@ -83,53 +84,46 @@ def _open_folder(folder: str) -> tuple[fs.FileSystem, str]:
     return fs.FileSystem.from_uri(re.sub(r"^file:/+", "file:///", folder))
 
 
-def dictionary_of(samples: list[bytes]) -> zstandard.ZstdCompressionDict | None:
-    """A dictionary trained on ``samples``; None where they are too few to train one."""
+def samples_of(records: list[bytes]) -> list[bytes]:
+    """Pieces of all records, long ones in several, evenly thinned to ``TRAINING_BYTES``."""
+    pieces = [(r, at) for r in records for at in range(0, len(r), SAMPLE_BYTES)]
+    step = max(1, -(-sum(map(len, records)) // TRAINING_BYTES))
+    return [r[at:at + SAMPLE_BYTES] for r, at in pieces[::step]]
+
+
+def dictionary_of(records: list[bytes]) -> zstandard.ZstdCompressionDict:
+    """A dictionary from samples of the records; where they are too few to train one, the samples themselves are it."""
+    samples = samples_of(records)
     try:
         return zstandard.train_dictionary(min(DICTIONARY_BYTES, max(1024, sum(map(len, samples)) // 8)), samples)
     except zstandard.ZstdError:
-        return None
+        return zstandard.ZstdCompressionDict(b"".join(samples)[-DICTIONARY_BYTES:], dict_type=zstandard.DICT_TYPE_RAWCONTENT)
 
 
 class Archive:
-    """An archive being written: holds records back until the dictionary can be trained."""
+    """An archive being written: its records, ``ARCHIVE_BYTES`` at most but for the last one, wait for the dictionary."""
 
     def __init__(self, folder: str) -> None:
         self.path = f"{folder}/{uuid.uuid4().hex}.warc.zst"
-        system, path = _open_folder(self.path)
-        self.out = system.open_output_stream(path, compression=None)
-        self.held: list[bytes] | None = []
-        self.held_bytes = self.records = self.payload = self.dictionary = 0
+        self.held: list[bytes] = []
+        self.payload = 0
 
     def add(self, data: bytes, payload: int) -> None:
-        self.records += 1
-        self.payload += payload
-        if self.held is None:
-            self.out.write(self.pack.compress(data))
-            return
         self.held.append(data)
-        self.held_bytes += len(data)
-        if self.held_bytes >= TRAINING_BYTES:
-            self._begin()
-
-    def _begin(self) -> None:
-        trained = dictionary_of(self.held)
-        if trained is not None:
-            held = trained.as_bytes()
-            self.dictionary = len(held)
-            self.out.write(struct.pack("<II", DICTIONARY_MAGIC, len(held)) + held)
-        self.pack = zstandard.ZstdCompressor(level=LEVEL, dict_data=trained, write_checksum=True)
-        for data in self.held:
-            self.out.write(self.pack.compress(data))
-        self.held = None
+        self.payload += payload
 
     def close(self) -> dict:
-        if self.held is not None:
-            self._begin()
-        size = self.out.tell()
-        self.out.close()
-        return {"path": self.path, "records": self.records, "payload_bytes": self.payload,
-                "dictionary_bytes": self.dictionary, "archive_bytes": size}
+        trained = dictionary_of(self.held)
+        content = trained.as_bytes()
+        pack = zstandard.ZstdCompressor(level=LEVEL, dict_data=trained, write_checksum=True)
+        system, path = _open_folder(self.path)
+        with system.open_output_stream(path, compression=None) as out:
+            out.write(struct.pack("<II", DICTIONARY_MAGIC, len(content)) + content)
+            for data in self.held:
+                out.write(pack.compress(data))
+            size = out.tell()
+        return {"path": self.path, "records": len(self.held), "payload_bytes": self.payload,
+                "dictionary_bytes": len(content), "archive_bytes": size}
 
 
 def write_archives(pages: DataFrame, folder: str | None = None, page: str = "page_id", html: str = "html") -> DataFrame:
