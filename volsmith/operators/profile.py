@@ -6,7 +6,7 @@ from collections.abc import Iterable, Sequence
 from itertools import combinations_with_replacement
 from typing import Any
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
@@ -83,15 +83,23 @@ def pivot_metric(
     return pivoted.agg(F.first("__value", ignorenulls=True))
 
 
+def _correlation(a: Column, b: Column) -> Column:
+    """Pearson correlation; NaN where a column has one value only, NULL without a pair.
+
+    One value is told by least and greatest: merged moments of equal values may differ from 0 by rounding.
+    """
+    both = a.isNotNull() & b.isNotNull()
+    x, y = F.when(both, a), F.when(both, b)
+    flat = (F.min(x) == F.max(x)) | (F.min(y) == F.max(y))
+    deviations = F.stddev_pop(x) * F.stddev_pop(y)
+    return F.when(flat, F.lit(float("nan"))).otherwise(F.try_divide(F.covar_pop(x, y), deviations))
+
+
 def corr_matrix(df: DataFrame, columns: Sequence[str]) -> DataFrame:
     """Pearson correlation of every pair of columns over complete pairs (A13), in one pass."""
     pairs = list(combinations_with_replacement(range(len(columns)), 2))
-    both = {
-        (i, j): F.col(columns[i]).isNotNull() & F.col(columns[j]).isNotNull() for i, j in pairs
-    }
     summary = df.agg(*[
-        F.corr(F.when(both[i, j], F.col(columns[i])), F.when(both[i, j], F.col(columns[j])))
-        .alias(f"c{i}_{j}") for i, j in pairs
+        _correlation(F.col(columns[i]), F.col(columns[j])).alias(f"c{i}_{j}") for i, j in pairs
     ])
     cells = [(i, j) for i in range(len(columns)) for j in range(len(columns))]
     return _unpivot(summary, {
