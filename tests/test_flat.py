@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import datetime as dt
 import math
 
 import pytest
@@ -18,3 +19,13 @@ def test_correlation_of_a_single_value_is_nan(spark):
     assert found["b", "b"] == pytest.approx(1.0)
     nothing = profile.corr_matrix(df.select(F.lit(None).cast("double").alias("a"), "b"), ["a", "b"]).collect()
     assert [r["correlation"] for r in nothing][:3] == [None] * 3
+
+
+def test_unit_root_test_of_a_single_value_is_nan(spark):
+    start = dt.date(2020, 1, 1)
+    rows = [("A", start + dt.timedelta(days=i), 0.1) for i in range(40)]
+    df = spark.createDataFrame(rows, "ticker string, date date, v double")
+    for max_lag in (0, 2, None):
+        row = adf(df, "v", max_lag=max_lag).first()
+        assert math.isnan(row["adf_stat"]) and math.isnan(row["p_value"])
+        assert (row["used_lag"], row["n_obs"]) == (0, 39)

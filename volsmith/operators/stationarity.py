@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 
 from volsmith.config import CHUNK_ROWS
 from volsmith.operators.chunks import positions, window_columns
-from volsmith.session import stage
+from volsmith.session import ship_package, stage
 
 # Response surface of the p-value with a constant and one series (MacKinnon 1994).
 TAU_MAX = 2.74
@@ -75,7 +75,11 @@ def _solve(by: str, width: int):
         early = sorted(b for b in grams if b > 0)
         max_lag = max((b - 1 for b in early), default=0)
         result = (None, None, None, n, None)
-        if n > max_lag + 2:
+        flat = n > max_lag + 2 and all(g[-1, -1] == 0 for b, (_, g) in grams.items() if b >= 0)
+        if flat:
+            n += sum(grams[b][0] for b in early)
+            result = (None, None, 0, n, None)
+        elif n > max_lag + 2:
             lag = min(range(max_lag + 1), key=lambda p: (_fit(gram, n, p)[1], p))
             # Fewer lags free earlier rows: those are added before the chosen fit.
             for bucket in early:
@@ -86,8 +90,8 @@ def _solve(by: str, width: int):
             if error > 0:
                 tau = float(beta[1] / error)
                 result = (tau, mackinnon_p(tau), lag, n, aic)
-        columns = [by, "adf_stat", "p_value", "used_lag", "n_obs", "aic"]
-        return pd.DataFrame([(rows[by].iloc[0], *result)], columns=columns).astype(
+        columns = [by, "adf_stat", "p_value", "used_lag", "n_obs", "aic", "flat"]
+        return pd.DataFrame([(rows[by].iloc[0], *result, flat)], columns=columns).astype(
             {"used_lag": "Int32", "n_obs": "Int64"}
         )
 
@@ -101,10 +105,12 @@ def adf(
     """Statistic, p-value and chosen lag per ticker, with a constant.
 
     The lag is the one of least AIC up to ``max_lag``, by default ceil(12 (n/100)^(1/4)).
-    Missing values are dropped before lagging. A series too short gives NULLs. A long series is cut into
+    Missing values are dropped before lagging. A series too short gives NULLs, one that never changes NaN: its
+    statistic is zero by zero. A long series is cut into
     chunks, each with the rows before it that the longest lag reaches, and the chunks' sums of products are
     added up.
     """
+    ship_package(df.sparkSession)
     series = df.where(F.col(column).isNotNull()).select(
         by, order, F.col(column).cast("double").alias("y")
     )
@@ -135,4 +141,8 @@ def adf(
     partial = regressors.select(by, bucket.alias("bucket"), "z").mapInPandas(
         _cross_products(by, width), f"{by} {key_type}, bucket int, n bigint, gram array<double>"
     )
-    return partial.groupBy(by).applyInPandas(_solve(by, width), f"{by} {key_type}, {RESULT}")
+    solved = partial.groupBy(by).applyInPandas(_solve(by, width), f"{by} {key_type}, {RESULT}, flat boolean")
+    # Set here because a NaN from pandas arrives as NULL.
+    return solved.withColumns({
+        c: F.when(F.col("flat"), F.lit(float("nan"))).otherwise(F.col(c)) for c in ("adf_stat", "p_value", "aic")
+    }).drop("flat")
