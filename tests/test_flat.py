@@ -8,7 +8,7 @@ import math
 import pytest
 from pyspark.sql import functions as F
 
-from volsmith.operators import profile
+from volsmith.operators import metrics, profile
 from volsmith.operators.stationarity import adf
 
 
@@ -29,3 +29,10 @@ def test_unit_root_test_of_a_single_value_is_nan(spark):
         row = adf(df, "v", max_lag=max_lag).first()
         assert math.isnan(row["adf_stat"]) and math.isnan(row["p_value"])
         assert (row["used_lag"], row["n_obs"]) == (0, 39)
+
+
+def test_r2_of_a_single_actual_value(spark):
+    df = spark.range(0, 60, 1, 7).select((F.col("id") % 2).alias("g"), F.lit(0.1).alias("y")).withColumn(
+        "yhat", F.when(F.col("g") == 0, 0.2).otherwise(F.col("y")))
+    found = {r["g"]: r["r2"] for r in df.groupBy("g").agg(*metrics.regression_metrics()).collect()}
+    assert found[0] == -math.inf and math.isnan(found[1])

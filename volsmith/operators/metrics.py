@@ -37,18 +37,23 @@ def mean_path(
 
 
 def regression_metrics(actual: str = "y", forecast: str = "yhat") -> list[Column]:
-    """MAE, MSE, RMSE, R2, RMSLE and MAPE as aggregates; RMSLE is NULL with values below -1."""
+    """MAE, MSE, RMSE, R2, RMSLE and MAPE as aggregates; RMSLE is NULL with values below -1.
+
+    Where the actual value never changes, R2 has nothing to explain: minus infinity, or NaN without an error.
+    """
     y, p = F.col(actual), F.col(forecast)
     error = y - p
     squared = F.avg(error * error)
-    variance = F.var_pop(y)
+    unexplained = F.when(squared > 0, F.lit(float("inf"))).otherwise(F.lit(float("nan")))
+    # Told by least and greatest: the merged variance of equal values may differ from 0 by rounding.
+    share = F.when(F.min(y) == F.max(y), unexplained).otherwise(F.try_divide(squared, F.var_pop(y)))
     floor = F.greatest(F.abs(y), F.lit(2.220446049250313e-16))
     logs = F.when((y > -1) & (p > -1), F.log1p(y) - F.log1p(p))
     return [
         F.avg(F.abs(error)).alias("mae"),
         squared.alias("mse"),
         F.sqrt(squared).alias("rmse"),
-        F.when(variance > 0, 1 - squared / variance).alias("r2"),
+        (1 - share).alias("r2"),
         F.when(F.count(logs) == F.count(error), F.sqrt(F.avg(logs * logs))).alias("rmsle"),
         F.avg(F.abs(error) / floor).alias("mape"),
     ]
