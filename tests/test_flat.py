@@ -8,7 +8,7 @@ import math
 import pytest
 from pyspark.sql import functions as F
 
-from volsmith.operators import metrics, profile
+from volsmith.operators import charts, metrics, profile
 from volsmith.operators.stationarity import adf
 
 
@@ -36,3 +36,9 @@ def test_r2_of_a_single_actual_value(spark):
         "yhat", F.when(F.col("g") == 0, 0.2).otherwise(F.col("y")))
     found = {r["g"]: r["r2"] for r in df.groupBy("g").agg(*metrics.regression_metrics()).collect()}
     assert found[0] == -math.inf and math.isnan(found[1])
+
+
+def test_pair_bins_put_a_single_value_into_the_last_bin(spark):
+    df = spark.createDataFrame([(0, 5.0, 1.0), (0, 5.0, 2.0), (0, None, 2.0)], "hue int, a double, b double")
+    found = {(r["bin_a"], r["bin_b"]): r["n"] for r in charts.pair_bins(df, ["a", "b"], "hue", 4).collect()}
+    assert found == {(3, 0): 1, (3, 3): 1}

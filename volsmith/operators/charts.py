@@ -28,13 +28,13 @@ def _join_ranges(df: DataFrame, ranges: DataFrame, by: Sequence[str]) -> DataFra
     return df.withColumns({c: F.lit(only[c]).cast("double") for c in ranges.columns})
 
 
-def _bin(column: str, bins: int) -> Column:
-    """Equal-width bin from 0; the maximum falls into the last one, a single value in the middle."""
+def _bin(column: str, bins: int, single: int) -> Column:
+    """Equal-width bin from 0; the maximum falls into the last one, a column's only value into ``single``."""
     low, high = F.col(f"{column}__lo"), F.col(f"{column}__hi")
     place = F.floor((F.col(column) - low) / (high - low) * bins)
     inner = F.when(place >= bins, F.lit(bins - 1)).otherwise(place)
     flat = F.col(column).isNotNull() & (high == low)
-    return F.when(flat, F.lit(bins // 2)).otherwise(inner).cast("int")
+    return F.when(flat, F.lit(single)).otherwise(inner).cast("int")
 
 
 def histogram(
@@ -50,7 +50,7 @@ def histogram(
     width = F.when(flat, F.lit(1.0)).otherwise(high - low) / bins
     return (
         _join_ranges(present.select(*by, column), ranges, by)
-        .groupBy(*by, f"{column}__lo", f"{column}__hi", _bin(column, bins).alias("bin"))
+        .groupBy(*by, f"{column}__lo", f"{column}__hi", _bin(column, bins, bins // 2).alias("bin"))
         .agg(F.count(F.lit(1)).alias("n"))
         .select(*by, "bin", (start + F.col("bin") * width).alias("left_edge"),
                 (start + (F.col("bin") + 1) * width).alias("right_edge"), "n")
@@ -129,12 +129,15 @@ def line_points(df: DataFrame, x: str, y: str, hue: str) -> DataFrame:
 def pair_bins(
     df: DataFrame, columns: Sequence[str], hue: str, bins: int = 20,
 ) -> DataFrame:
-    """Joint counts of every pair of columns by ``hue`` (C5): one row per occupied cell."""
+    """Joint counts of every pair of columns by ``hue`` (C5): one row per occupied cell.
+
+    A column's only value is its maximum too, so it falls into the last bin.
+    """
     ranges = _ranges(df, columns, [])
     pairs = list(combinations(columns, 2))
     cells = F.array(*[
         F.struct(F.lit(a).alias("column_a"), F.lit(b).alias("column_b"),
-                 _bin(a, bins).alias("bin_a"), _bin(b, bins).alias("bin_b"))
+                 _bin(a, bins, bins - 1).alias("bin_a"), _bin(b, bins, bins - 1).alias("bin_b"))
         for a, b in pairs
     ])
     return (
