@@ -8,7 +8,7 @@ import math
 import pytest
 from pyspark.sql import functions as F
 
-from volsmith.operators import charts, metrics, profile
+from volsmith.operators import charts, metrics, profile, regimes
 from volsmith.operators.stationarity import adf
 
 
@@ -42,3 +42,10 @@ def test_pair_bins_put_a_single_value_into_the_last_bin(spark):
     df = spark.createDataFrame([(0, 5.0, 1.0), (0, 5.0, 2.0), (0, None, 2.0)], "hue int, a double, b double")
     found = {(r["bin_a"], r["bin_b"]): r["n"] for r in charts.pair_bins(df, ["a", "b"], "hue", 4).collect()}
     assert found == {(3, 0): 1, (3, 3): 1}
+
+
+def test_all_components_without_any_variance(spark):
+    df = spark.range(30).select(F.lit(0.0).alias("a"), F.lit(0.0).alias("b"))
+    loadings = regimes.pca_by_variance(df, ["a", "b"], 1.0).loadings.collect()
+    assert sorted(r["component"] for r in loadings) == [1, 1, 2, 2]
+    assert all(math.isnan(r["ratio"]) for r in loadings)
