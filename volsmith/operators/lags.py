@@ -4,12 +4,12 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window, WindowSpec
 from pyspark.sql import functions as F
 
 from volsmith.config import CHUNK_ROWS, MAX_PRICE_LAG, TARGET_LEAD_ROWS
 from volsmith.functions.scalar import fibonacci_lags
-from volsmith.operators.chunks import window_columns
+from volsmith.operators.chunks import in_chunks, window_columns
 
 # A total order of a security's rows, so that equal dates cannot swap between runs.
 QUOTE_ORDER = ["date", "strike_price", "symbol"]
@@ -91,3 +91,25 @@ def price_differences(
         before=lags[-1], chunk_rows=chunk_rows,
         keep=(lambda d: d.where(F.col(longest).isNotNull())) if require else None,
     )
+
+
+def target_and_differences(
+    df: DataFrame, n: int = TARGET_LEAD_ROWS, max_days: int = MAX_PRICE_LAG, by: str = "secid",
+    order: Sequence[str] = tuple(QUOTE_ORDER), chunk_rows: int | None = CHUNK_ROWS,
+) -> DataFrame:
+    """``price_differences`` of the rows that ``lead_target`` keeps, with one shuffle and one sort for both.
+
+    The differences count the rows with a target. Of the rows before a chunk, those with a volatility but for
+    ``n`` are volatilities ahead of other such rows, so ``n`` more of them than the longest lag hold enough targets.
+    """
+    lags = fibonacci_lags(max_days)
+    if not lags:
+        return lead_target(df, n, by, order, chunk_rows)
+
+    def both(rows: DataFrame, w: WindowSpec) -> DataFrame:
+        targeted = rows.withColumn("iv_30d", F.lead("impl_volatility", n).over(w)).where(F.col("iv_30d").isNotNull())
+        return targeted.withColumns({f"price_diff_{d}d": F.col("prc") - F.lag("prc", d).over(w) for d in lags})
+
+    found = in_chunks(df, [by], order, both, before=n + lags[-1], after=n, chunk_rows=chunk_rows,
+                      counted=F.col("impl_volatility").isNotNull())
+    return found.where(F.col(f"price_diff_{lags[-1]}d").isNotNull())

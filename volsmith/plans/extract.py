@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, Observation, SparkSession
 from volsmith.config import PipelineConfig
 from volsmith.operators.clean import add_date_parts, volume_cap, volume_thresholds
 from volsmith.operators.joins import join_master, join_stock
-from volsmith.operators.lags import lead_target, price_differences
+from volsmith.operators.lags import target_and_differences
 from volsmith.session import stage
 from volsmith.sources import scans, sinks
 
@@ -27,18 +27,20 @@ class ExtractRun:
 def apply_transformations(
     quotes: DataFrame, config: PipelineConfig,
 ) -> tuple[DataFrame, DataFrame]:
-    """Date parts, volume cap, forward target and price differences, in this order.
+    """Volume cap, forward target, price differences and date parts.
 
-    Lags count the rows the earlier filters left, so the rows with a target are written out before
-    they are lagged; the second step reads them twice and recomputes nothing.
+    Lags count the rows the earlier filters left. Target and differences share one shuffle of the quotes.
     """
     thresholds = stage(volume_thresholds(quotes, config.volume_quantile), "thresholds")
-    capped = volume_cap(add_date_parts(quotes), thresholds=thresholds)
-    targeted = stage(
-        lead_target(capped, config.lead_rows, chunk_rows=config.chunk_rows), "targeted"
+    capped = volume_cap(quotes, thresholds=thresholds)
+    found = target_and_differences(
+        capped, config.lead_rows, config.max_price_lag, chunk_rows=config.chunk_rows
     )
-    cleaned = price_differences(targeted, config.max_price_lag, chunk_rows=config.chunk_rows)
-    return cleaned, thresholds
+    # The date parts follow from the date, so they are added after the shuffle.
+    parts = add_date_parts(found)
+    given, added = capped.columns, [c for c in parts.columns if c not in found.columns]
+    new = [c for c in found.columns if c not in given]
+    return parts.select(*given, *added, *new), thresholds
 
 
 def process_tickers(
@@ -55,9 +57,10 @@ def process_tickers(
     raw = join_master(
         scans.scan_quotes(spark, quotes, secids, config.from_date, config.to_date), secids, tickers
     )
-    stock = scans.scan_stock(
+    # A row per ticker and day: staged, so that its size is known and the quotes need no shuffle to meet it.
+    stock = stage(scans.scan_stock(
         spark, prices, names, tickers, config.from_date, config.to_date, config.dedupe_names
-    )
+    ), "stock")
     # Written once: the threshold, the cut points and the rows are later read from it column-wise.
     seen, kept = Observation("raw quotes"), Observation("cleaned quotes")
     metrics = sinks.ticker_metrics(tickers)
