@@ -6,6 +6,7 @@ import random
 import re
 from collections import Counter, defaultdict
 
+import numpy as np
 import regex
 from pyspark.sql import functions as F
 
@@ -150,6 +151,38 @@ def test_repeats_query(spark):
     check_repeats(QUERIES["op1_substring_dedup"](spark, sf).collect(), docs)
 
 
+def test_repeats_stage_only_what_texts_share(spark, tmp_path, monkeypatch):
+    rng = random.Random(13)
+    bodies = [words(rng, 300) for _ in range(40)]
+    bodies[7][100:160] = bodies[23][30:90]
+    spark.createDataFrame([(i, " ".join(b), None, None, None) for i, b in enumerate(bodies)], DOCS).write.parquet(str(tmp_path / "d"))
+    staged, plain = {}, paragraphs.stage
+    monkeypatch.setattr(paragraphs, "stage", lambda df, name: staged.setdefault(name, []).append(plain(df, name)) or staged[name][-1])
+    found = paragraphs.repeated_paragraphs(spark.read.parquet(str(tmp_path / "d"))).collect()
+    assert {r["doc_id"] for r in found} == {7, 23}
+    rows = {name: sum(t.count() for t in tables) for name, tables in staged.items()}
+    # Paragraphs of one text overlap and have runs of words in common; that makes no candidates.
+    assert rows["paragraphs"] > 400 and rows["classes"] < 40 and rows["sets"] < 20
+
+
+def test_outlines_lose_no_link():
+    rng = np.random.default_rng(14)
+    base = rng.integers(0, 1 << 63, (400, paragraphs.RUNS), dtype=np.uint64)
+    other = base.copy()
+    for i, row in enumerate(other):
+        row[:i % 8] = rng.integers(0, 1 << 63, i % 8, dtype=np.uint64)
+    good = paragraphs.linked(base, other, 80)
+    jaccard = [len({*a} & {*b}) / len({*a} | {*b}) for a, b in zip(base.tolist(), other.tolist())]
+    assert good.tolist() == [j >= 0.8 for j in jaccard] and good.any() and not good.all()
+    at = np.arange(400) * paragraphs.RUNS
+    bits = paragraphs.outlines(np.concatenate([base.ravel(), other.ravel()]), np.concatenate([at, at + base.size])).view(np.uint64)
+    apart = bits[:400] ^ bits[400:]
+    most = paragraphs.most_apart(80)
+    assert (np.bitwise_count(apart[good]) <= most).all()
+    masks = [np.uint64(sum(1 << j for j in range(part, 64, most + 1))) for part in range(most + 1)]
+    assert np.any([apart[good] & m == 0 for m in masks], axis=0).all()
+
+
 def test_repeats_odd(spark, tmp_path):
     frame = spark.createDataFrame(ODD, DOCS).withColumn("kept", F.lit("x")).withColumn("start", F.lit(1)).withColumn("hi", F.lit(1))
     frame.write.parquet(str(tmp_path / "odd"))
