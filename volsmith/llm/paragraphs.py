@@ -21,6 +21,8 @@ from volsmith.session import ship_package, stage
 WORDS, REACH = 24, 6
 #: Runs of five words in a paragraph.
 RUNS = WORDS - WIDTH + 1
+#: Rounds of ``list_components``: lists of parts of outlines are short, so few are needed.
+STARS = 3
 #: Words of texts that are worked on together.
 BLOCK = 1 << 16
 PERCENT = 80
@@ -206,9 +208,12 @@ def repeated_paragraphs(docs: DataFrame, text: str = "text", key: str = "doc_id"
         .withColumn("node", F.monotonically_increasing_id()), "classes")
 
     # Linked classes share a value, and a part of their outlines besides.
-    values, _ = _maybe_met(classes.select("node", "outline", F.explode(F.array(*bands)).alias("value")))
-    parts, several = _maybe_met(values.select("node", "outline", F.explode(F.array(*outline_parts(percent))).alias("value")))
-    lists = stage(parts.join(several, "value", "left_semi"), "lists")
+    values = _maybe_met(classes.select("node", "outline", F.explode(F.array(*bands)).alias("value")))
+    parts = _maybe_met(values.select("node", "outline", F.explode(F.array(*outline_parts(percent))).alias("value")))
+    open_lists = parts.groupBy("value").agg(
+        F.count("*").alias("size"), F.min("node").alias("least"), F.max("node").alias("most"), F.bit_xor("outline").alias("apart"),
+    ).where((F.col("least") != F.col("most")) & ((F.col("size") > 2) | (F.bit_count("apart") <= most_apart(percent))))
+    lists = stage(parts.join(open_lists.select("value"), "value", "left_semi"), "lists")
 
     # The full sets of paragraphs in lists: the first occurrence of each class, read again from its document.
     nodes = stage(lists.select("node").distinct().join(classes, "node").select("node", "first.place", "first.paragraph"), "nodes")
@@ -243,8 +248,7 @@ def repeated_paragraphs(docs: DataFrame, text: str = "text", key: str = "doc_id"
     def may_link(one: str, other: str) -> Column:
         return F.bit_count(F.col(f"{one}outline").bitwiseXOR(F.col(f"{other}outline"))) <= most_apart(percent)
 
-    # One round: lists of parts are short, and the outlines leave hardly a pair to check that is not linked.
-    roots = list_components(lists, ["outline"], verified, may_link, rounds=1)
+    roots = list_components(lists, ["outline"], verified, may_link, rounds=STARS)
     rooted = classes.join(roots, "node", "left").where("component is not null or low <> high").select(
         F.coalesce("component", "node").alias("root"), *same, "first", "n", "low", "high")
     groups = rooted.groupBy("root").agg(
@@ -260,12 +264,12 @@ def repeated_paragraphs(docs: DataFrame, text: str = "text", key: str = "doc_id"
             key, *ADDED)
 
 
-def _maybe_met(lists: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """The rows whose ``value`` several nodes have, with a few others by chance, and these values."""
+def _maybe_met(lists: DataFrame) -> DataFrame:
+    """The rows whose ``value`` several nodes have, with a few others by chance."""
     several = stage(shared_values(lists, "node"), "met")
     words = mark_words(several.count())
     near = with_mark(lists, stage(marks(several, "value", words=words), "marks"), "value", words=words)
-    return near.where("maybe").drop("maybe"), several
+    return near.where("maybe").drop("maybe")
 
 
 def removals(found: DataFrame, key: str = "doc_id") -> DataFrame:
